@@ -67,10 +67,12 @@ m as (
   select p.*, r.rhost || r.rpath as rule, r.rverdict,
     row_number() over (partition by page_id order by length(r.rhost || r.rpath) desc nulls last) as k
   from p left join r on (p.host = r.rhost or ends_with(p.host, '.' || r.rhost)) and starts_with(p.path, r.rpath))
-select page_id, host, path, rule,
-  coalesce(rverdict, case when regexp_matches(low, '[/._-]casino[/._-]') or regexp_matches(low, '/login([/?#]|$)')
-    or regexp_matches(low, '/cart([/?#]|$)') or regexp_matches(low, '[;?&]jsessionid=') then 'block' else 'allow' end) as verdict
-from m where k = 1
+select page_id, host, path, rule, coalesce(rverdict, case when pattern is null then 'allow' else 'block' end) as verdict,
+  case when rule is null then pattern end as pattern
+from (
+  select *, case when regexp_matches(low, '[/._-]casino[/._-]') then 'casino' when regexp_matches(low, '/login([/?#]|$)') then 'login'
+    when regexp_matches(low, '/cart([/?#]|$)') then 'cart' when regexp_matches(low, '[;?&]jsessionid=') then 'jsessionid' end as pattern
+  from m where k = 1)
 """
 
 

@@ -121,11 +121,11 @@ def filter_urls(
     default: str = "allow",
     inline_rules: int = INLINE_RULES,
 ) -> DataFrame:
-    """(key, host, path, rule, verdict) for every row of ``urls``."""
+    """(key, host, path, rule, verdict, pattern) for every row; ``rule`` is a host rule, ``pattern`` the pattern rule that decided."""
     rules = [*host_rules, *pattern_rules]
     base = urls.select(F.col(key).alias(key), F.col(url).alias("_url"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if not rules:
-        return base.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return base.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("pattern"))
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
     seen = token_counts(urls, sorted({t for r in rules for t in r.tokens}), url)
@@ -145,6 +145,14 @@ def _rank(i: int, rule: HostRule | PatternRule, hosts: int) -> int:
     return ((1 << 30) if rule.verdict == "block" else 0) + (1 << 20) - i
 
 
+def _outcome(default: str) -> list[Column]:
+    on_host = F.col("_best.rank") >= 1 << 40
+    return [
+        F.when(on_host, F.col("_best.rule")).alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
+        F.when(~on_host, F.col("_best.rule")).alias("pattern"),
+    ]
+
+
 def _target(on_host: bool) -> Column:
     return F.concat("host", "path") if on_host else ascii_lower(F.col("_url"))
 
@@ -161,7 +169,7 @@ def _inline(base, tokens, rules, keyed, hosts, key, default) -> DataFrame:
     return (
         base.withColumn("_tokens", tokens)
         .withColumn("_best", F.array_max(F.array(*fetched)))
-        .select(key, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        .select(key, "host", "path", *_outcome(default))
     )
 
 
@@ -176,5 +184,5 @@ def _joined(base, tokens, rules, keyed, hosts, key, default) -> DataFrame:
     hits = distinct.withColumn("token", F.explode(tokens)).join(index, "token").where(F.when(F.col("on_host"), F.rlike(_target(True), F.col("regex"))).otherwise(F.rlike(_target(False), F.col("regex"))))
     best = hits.groupBy("_url").agg(F.max(F.struct("rank", "rule", "verdict")).alias("_best"))
     return base.join(best, "_url", "left").select(
-        key, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
+        key, "host", "path", *_outcome(default)
     )
