@@ -37,12 +37,9 @@ URL_RULES = [
     url_filter.HostRule("example.net", "/de/8", "block"),
     url_filter.HostRule("org", "/es/", "block"),
 ]
-URL_PATTERNS = [
-    url_filter.PatternRule("casino", r"[/._-]casino[/._-]", "block", ("casino",)),
-    url_filter.PatternRule("login", r"/login(?:[/?#]|$)", "block", ("login",)),
-    url_filter.PatternRule("cart", r"/cart(?:[/?#]|$)", "block", ("cart",)),
-    url_filter.PatternRule("jsessionid", r"[;?&]jsessionid=", "block", ("jsessionid",)),
-]
+#: Whole words of a URL that mark gambling, adult, pharmacy, advertising and spam pages, and session or login pages.
+URL_WORDS = ("ads", "adult", "bets", "cart", "casino", "jsessionid", "login", "pills", "poker", "porn", "spam", "viagra", "xxx")
+URL_PATTERNS = [url_filter.PatternRule(w, f"[/._?&;-]{w}[/._?&#=-]", "block", (w,)) for w in URL_WORDS]
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +67,9 @@ m as (
 select page_id, host, path, rule, coalesce(rverdict, case when pattern is null then 'allow' else 'block' end) as verdict,
   case when rule is null then pattern end as pattern
 from (
-  select *, case when regexp_matches(low, '[/._-]casino[/._-]') then 'casino' when regexp_matches(low, '/login([/?#]|$)') then 'login'
-    when regexp_matches(low, '/cart([/?#]|$)') then 'cart' when regexp_matches(low, '[;?&]jsessionid=') then 'jsessionid' end as pattern
+  select *, case PATTERNS end as pattern
   from m where k = 1)
-"""
+""".replace("PATTERNS", " ".join(f"when regexp_matches(low, '{p.regex}') then '{p.name}'" for p in URL_PATTERNS))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
