@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import binary_array, shuffle_partitions
+from ledgerloom.llm.common import binary_array, chunks, mix64, ranges, shuffle_partitions
 
 SCHEMA = "bucket int, kind int, ids binary, digests binary, counts binary, tags binary, gaps binary"
 
@@ -95,18 +94,51 @@ class Postings:
     def id(self) -> np.ndarray:
         return np.repeat(self.ids, self.counts)
 
-    def kept(self, keep: np.ndarray, kind: int) -> pa.RecordBatch:
-        """(id, digest, kind, places): the chosen postings' positions, a row a run."""
-        run = np.repeat(np.arange(len(self.counts)), self.counts)[keep]
-        some, n = np.unique(run, return_counts=True)
-        bounds = np.concatenate([[0], np.cumsum(n)]) * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.ids[some]), pa.array(self.digests[some].astype(np.int64)), pa.array(np.full(len(some), kind, np.int32)), binary_array(self.pos[keep].astype(np.uint32), bounds)],
-            names=["id", "digest", "kind", "places"],
-        )
+    def digest(self) -> np.ndarray:
+        return np.repeat(self.digests, self.counts)
 
 
-PLACES = "id long, digest long, kind int, places binary"
+class Places:
+    """Collects (id, digest, kind, position) and packs them for the partitions of their documents.
+
+    A packed row holds what one flush found for one partition of documents, so
+    the number of rows does not grow with documents times partitions.
+    """
+
+    MOST = 1 << 22
+
+    def __init__(self, shards: int):
+        self.shards, self.parts, self.size = shards, {}, 0
+
+    def add(self, kind: int, ids: np.ndarray, digests: np.ndarray, pos: np.ndarray):
+        self.parts.setdefault(kind, []).append((ids, digests, pos))
+        self.size += len(ids)
+        if self.size >= self.MOST:
+            yield from self.flush()
+
+    def flush(self):
+        for kind, parts in sorted(self.parts.items()):
+            ids, digests, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((pos, digests, ids))
+            ids, digests, pos = ids[order], digests[order], pos[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (digests[1:] != digests[:-1])
+            run = np.flatnonzero(new)
+            if len(run):
+                yield post(kind, shard_of_ids(ids, self.shards), np.zeros((len(ids), 0), np.uint8), np.cumsum(new) - 1, pos, ids[run], digests[run])
+        self.parts, self.size = {}, 0
+
+
+_PRIME, _FACTOR = (1 << 31) - 1, 48271
+
+
+def shard_of_ids(ids: np.ndarray, shards: int) -> np.ndarray:
+    return (ids % _PRIME * _FACTOR % _PRIME % shards).astype(np.int32)
+
+
+def shard_of(c: Column, shards: int) -> Column:
+    """The same in a plan."""
+    return (F.pmod(c, F.lit(_PRIME).cast("long")) * _FACTOR % _PRIME % shards).cast("int")
 
 
 def decode(rows: pa.RecordBatch, width: int) -> Postings:
@@ -116,7 +148,7 @@ def decode(rows: pa.RecordBatch, width: int) -> Postings:
     total = np.cumsum(gaps)
     first = np.cumsum(counts) - counts
     pos = total - np.repeat(total[first] - gaps[first], counts) if len(counts) else total
-    return Postings(c["ids"].copy().view(np.int64), c["digests"].copy().view(np.uint32), counts, c["tags"].reshape(-1, width), pos)
+    return Postings(c["ids"].copy().view(np.int64), c["digests"].copy().view(np.uint32), counts, c["tags"].reshape(-1, width) if width else np.zeros((len(pos), 0), np.uint8), pos)
 
 
 def by_kind(batches, width: int):
@@ -138,17 +170,73 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
 
 
-def gathered(places: DataFrame) -> DataFrame:
-    """One row a document: its places of every kind."""
-    return places.groupBy("id", "digest").agg(
-        F.collect_list(F.when(F.col("kind") == 1, F.col("places"))).alias("probes"), F.collect_list(F.when(F.col("kind") == 2, F.col("places"))).alias("refs")
-    )
-
-
-def places_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, position) of a column of lists of packed positions; null is no list."""
-    flat = column.flatten()
-    data = _bytes(flat).copy().view(np.uint32).astype(np.int64)
-    sizes = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    per_row = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.repeat(np.arange(len(column)), per_row), sizes), data
+DOCUMENT = 9
+
+
+def meet(rows: DataFrame, places: DataFrame, shards: int, fn, schema: str, *, inner: bool = False) -> DataFrame:
+    """Documents (id, digest, text) with the places found for them.
+
+    ``fn(part, texts, found)`` gets runs of documents; ``found[kind]`` is (row,
+    position), rows counted over the run.  Texts move once, to the partition of
+    their id, where the packed places of that partition are read first.  With
+    ``inner``, documents without places are left out.
+    """
+    none = {c: F.lit(None).cast("binary").alias(c) for c in ("ids", "digests", "counts", "tags", "gaps")}
+    texts = rows.select(shard_of(F.col("id"), shards).alias("bucket"), F.lit(DOCUMENT).alias("kind"), *none.values(), "id", "digest", "text")
+    both = places.select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("digest"), F.lit(None).cast("string").alias("text")).unionByName(texts)
+
+    def run(batches):
+        parts, table = {}, None
+        for b in batches:
+            kinds = b.column("kind").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), len(kinds)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                if kinds[lo] != DOCUMENT:
+                    p = decode(b.slice(lo, hi - lo), 0)
+                    parts.setdefault(int(kinds[lo]), []).append((_row_key(p.ids, p.digests), p.counts, p.pos))
+                    continue
+                if table is None:
+                    table = {kind: _sorted_runs(x) for kind, x in parts.items()}
+                    parts = {}
+                docs = b.slice(lo, hi - lo)
+                if inner:
+                    keys = _row_key(*_ids(docs))
+                    known = np.zeros(len(keys), bool)
+                    for key, *_ in table.values():
+                        known |= np.isin(keys, key)
+                    docs = docs.filter(pa.array(known))
+                for part, texts in chunks(docs):
+                    keys = _row_key(*_ids(part))
+                    found = {kind: _look_up(keys, *x) for kind, x in table.items()}
+                    yield from fn(part, texts, found)
+
+    return dealt(both, shards).mapInArrow(run, schema)
+
+
+def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return part.column("id").to_numpy(), part.column("digest").to_numpy().astype(np.uint32)
+
+
+def _row_key(ids: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    return mix64(ids.astype(np.int64).view(np.uint64)) ^ (digests.astype(np.uint64) << np.uint64(17))
+
+
+def _sorted_runs(parts):
+    """(distinct document keys, first run of each, where runs begin, their lengths, positions)"""
+    keys, counts, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    begin = np.cumsum(counts) - counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts, begin = keys[order], counts[order], begin[order]
+    return keys, begin, counts, pos
+
+
+def _look_up(wanted: np.ndarray, keys, begin, counts, pos) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = np.searchsorted(keys, wanted, side="left"), np.searchsorted(keys, wanted, side="right")
+    runs = ranges(lo, hi - lo)
+    row = np.repeat(np.repeat(np.arange(len(wanted)), hi - lo), counts[runs])
+    return row, pos[ranges(begin[runs], counts[runs])]
+
+
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, Workspace, chunks, map_texts, windows_in_docs, word_hashes, words_of
-from ledgerloom.llm.postings import PLACES, SCHEMA, buckets_of, by_kind, dealt, gathered, key_back, keyed, places_of, post
+from ledgerloom.llm.common import Rolling, Workspace, map_texts, windows_in_docs, word_hashes, words_of
+from ledgerloom.llm.postings import NOTHING, SCHEMA, Places, buckets_of, by_kind, dealt, key_back, keyed, meet, post
 
 WINDOW = 13
 TAG = 5
@@ -114,7 +114,7 @@ def _tag_keys(tags: np.ndarray) -> np.ndarray:
 
 def probe_anchors(postings: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
-        index, most = LeastIds(), None
+        index, most, places = LeastIds(), None, Places(buckets)
         for kind, p in by_kind(batches, TAG):
             keys, ids = _tag_keys(p.tags), p.id()
             if kind == 0:
@@ -128,10 +128,10 @@ def probe_anchors(postings: DataFrame, buckets: int) -> DataFrame:
                 keep = hit[index.ids[j] < ids[hit]]
             else:
                 keep = hit[most[j] > ids[hit]]
-            if len(keep):
-                yield p.kept(keep, kind)
+            yield from places.add(kind, ids[keep], p.digest()[keep], p.pos[keep])
+        yield from places.flush()
 
-    return dealt(postings, buckets).mapInArrow(run, PLACES)
+    return dealt(postings, buckets).mapInArrow(run, SCHEMA)
 
 
 def _around(row: np.ndarray, pos: np.ndarray, first: np.ndarray, window: int, block: int) -> np.ndarray:
@@ -144,34 +144,32 @@ def _around(row: np.ndarray, pos: np.ndarray, first: np.ndarray, window: int, bl
     return np.flatnonzero(mark)
 
 
-def window_postings(rows: DataFrame, window: int, buckets: int) -> DataFrame:
+def window_postings(rows: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
     block = (window + 1) // 2
 
-    def run(batches):
-        for whole in batches:
-            for part, texts in chunks(whole):
-                ids, digests = _columns(part)
-                words = words_of(texts)
-                one = _SEQ.prefix(word_hashes(texts, words, _BYTES))
-                two = _SEQ2.prefix(word_hashes(texts, words, _BYTES2))
-                for kind, column in ((0, "refs"), (1, "probes")):
-                    row, pos = places_of(part.column(column))
-                    starts = _around(row, pos, words.first, window, block)
-                    if not len(starts):
-                        continue
-                    doc = np.searchsorted(words.first, starts, side="right") - 1
-                    h, g = (r.spans(p, starts, starts + window) for r, p in ((_SEQ, one), (_SEQ2, two)))
-                    if kind == 0:  # only the least id of a window matters
-                        order = np.lexsort((ids[doc], g, h))
-                        hs, gs = h[order], g[order]
-                        new = np.ones(len(order), bool)
-                        new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
-                        keep = np.sort(order[new])
-                        starts, doc, h, g = starts[keep], doc[keep], h[keep], g[keep]
-                    tags = np.concatenate([_tags(h, 8), _tags(g, 8)], axis=1)
-                    yield post(kind, (h % np.uint64(buckets)).astype(np.int32), tags, doc, starts - words.first[doc], ids, digests)
-
-    return rows.mapInArrow(run, SCHEMA)
+    def fn(part, texts, found):
+        ids, digests = _columns(part)
+        words = words_of(texts)
+        one = _SEQ.prefix(word_hashes(texts, words, _BYTES))
+        two = _SEQ2.prefix(word_hashes(texts, words, _BYTES2))
+        for kind, source in ((0, 2), (1, 1)):
+            row, pos = found.get(source, NOTHING)
+            starts = _around(row, pos, words.first, window, block)
+            if not len(starts):
+                continue
+            doc = np.searchsorted(words.first, starts, side="right") - 1
+            h, g = (r.spans(p, starts, starts + window) for r, p in ((_SEQ, one), (_SEQ2, two)))
+            if kind == 0:  # only the least id of a window matters
+                order = np.lexsort((ids[doc], g, h))
+                hs, gs = h[order], g[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
+                keep = np.sort(order[new])
+                starts, doc, h, g = starts[keep], doc[keep], h[keep], g[keep]
+            tags = np.concatenate([_tags(h, 8), _tags(g, 8)], axis=1)
+            yield post(kind, (h % np.uint64(buckets)).astype(np.int32), tags, doc, starts - words.first[doc], ids, digests)
+
+    return meet(rows, hits, buckets, fn, SCHEMA, inner=True)
 
 
 def match_windows(postings: DataFrame, buckets: int) -> DataFrame:
@@ -180,7 +178,7 @@ def match_windows(postings: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         # 128-bit keys: searched by their first half, checked by the second
         seen_h, seen_g, seen_id = [], [], []
-        table = None
+        table, places = None, Places(buckets)
         for kind, p in by_kind(batches, 16):
             both = p.tags.copy().view(np.uint64)
             h, g, ids = both[:, 0].copy(), both[:, 1].copy(), p.id()
@@ -195,10 +193,10 @@ def match_windows(postings: DataFrame, buckets: int) -> DataFrame:
                 continue
             j = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
             keep = np.flatnonzero((table[0][j] == h) & (table[1][j] == g) & (table[2][j] < ids))
-            if len(keep):
-                yield p.kept(keep, 1)
+            yield from places.add(1, ids[keep], p.digest()[keep], p.pos[keep])
+        yield from places.flush()
 
-    return dealt(postings, buckets).mapInArrow(run, PLACES)
+    return dealt(postings, buckets).mapInArrow(run, SCHEMA)
 
 
 def _least2(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,25 +217,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, key: str = "doc_id"
     rows, buckets = keyed(docs, key, text), buckets_of(spark)
     work = Workspace(spark, "substring")
     hits = work.save(probe_anchors(anchor_postings(rows, window, buckets), buckets), "hits")
-    joined = rows.join(gathered(hits), ["id", "digest"])
-    repeated = work.save(match_windows(window_postings(joined, window, buckets), buckets), "windows")
+    repeated = work.save(match_windows(window_postings(rows, hits, window, buckets), buckets), "windows")
     work.drop("hits")
-    final = rows.join(gathered(repeated), ["id", "digest"], "left")
 
-    def run(batches):
-        for whole in batches:
-            for part, texts in chunks(whole):
-                words = words_of(texts)
-                row, pos = places_of(part.column("probes"))
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, words.first[row] + pos, 1)
-                np.add.at(edge, np.minimum(words.first[row] + pos + window, len(words)), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                yield _rendered(part, texts, words, gone)
-
-    return final.mapInArrow(run, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string").select(
-        key_back(F.col("id")).alias(key), "n_words", "n_removed", "spans", "kept"
-    )
+    def fn(part, texts, found):
+        words = words_of(texts)
+        row, pos = found.get(1, NOTHING)
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, words.first[row] + pos, 1)
+        np.add.at(edge, np.minimum(words.first[row] + pos + window, len(words)), -1)
+        yield _rendered(part, texts, words, np.cumsum(edge[:-1]) > 0)
+
+    final = meet(rows, repeated, buckets, fn, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return final.select(key_back(F.col("id")).alias(key), "n_words", "n_removed", "spans", "kept")
 
 
 def _rendered(part, texts, words, gone) -> pa.RecordBatch:
