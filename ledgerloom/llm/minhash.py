@@ -10,9 +10,9 @@ coordinate k ranks them after a rotation by k.  Two permutations thus give all
    its least member; pairs are kept if their sizes and sketches allow the
    threshold, and confirmed on the full shingle sets.
 3. Confirmed links join into components.  Buckets that still hold several
-   components propose the remaining pairs across them, in blocks of bounded
-   size, and these are confirmed alike: no candidate of a bucket is left out,
-   yet a bucket of copies never makes all its pairs.
+   components compare their members across them, in blocks of bounded size and
+   on the full sets: no candidate of a bucket is left out, yet only links leave
+   a block and a bucket of copies never makes all its pairs.
 
 With 25 bands of 5 rows a pair at similarity 0.8 fails to meet with probability
 5e-5, one at 0.85 with 4e-7.
@@ -39,19 +39,15 @@ PERCENT = 80
 BANDS, ROWS = 25, 5
 #: Candidates whose sketches agree on less than this are dropped: 4 standard errors below 0.8.
 SKETCH_SLACK = 0.15
-#: Members of a bucket compared in one block.
-BLOCK = 1500
+#: Shingles of a bucket's members compared in one block.
+BLOCK_SHINGLES = 1 << 19
 
 _BYTES, _SEQ = Rolling(401), Rolling(402)
 NONE = np.zeros(0, np.int64)
 
 
-def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all documents, by document, and where each document begins.
-
-    A hash keeps the bits that the document number leaves of 64: with a few
-    thousand documents in a run, 50 and more.
-    """
+def _shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and documents of all shingles; a text shorter than a shingle is one."""
     texts = Texts(LOWER[texts.data], texts.offsets)
     words = words_of(texts)
     counts = words.counts()
@@ -59,7 +55,17 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     starts, doc = windows_in_docs(words.first, size)
     short = np.flatnonzero((counts > 0) & (counts < size))
     h = np.concatenate([_SEQ.spans(prefix, starts, starts + size), _SEQ.spans(prefix, words.first[short], words.first[short + 1])])
-    doc = np.concatenate([doc, short])
+    return h, np.concatenate([doc, short])
+
+
+def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all documents, by document, and where each document begins.
+
+    Document number and hash are sorted as one 64-bit number, so a hash loses as
+    many low bits as the run's document numbers take (about 10); the bits of
+    ``COMMON_BITS`` are kept in every run.
+    """
+    h, doc = _shingles(texts, size)
     bits = max(1, len(texts).bit_length())
     both = (doc.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits))
     both.sort()
@@ -67,8 +73,17 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = both[1:] != both[:-1]
     both = both[new]
     first = np.searchsorted(both >> np.uint64(64 - bits), np.arange(len(texts) + 1, dtype=np.uint64))
-    # equal sets must get equal hashes whatever the run: 40 bits are common to all runs
-    return (both << np.uint64(bits)), first
+    return both << np.uint64(bits), first
+
+
+def full_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with all 64 bits of the hashes."""
+    h, doc = _shingles(texts, size)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
 def _second(x: np.ndarray, out: np.ndarray, tmp: np.ndarray) -> None:
@@ -178,42 +193,73 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of plausible pairs between different components of one bucket.
+def set_table(texts: DataFrame, size: int) -> DataFrame:
+    """(id, hashes): the sorted 64-bit hashes of the full shingle set."""
+
+    def fn(part, texts):
+        h, first = full_sets(texts, size)
+        yield pa.RecordBatch.from_arrays([part.column("id"), binary_array(h.view(np.uint8), first * 8)], names=["id", "hashes"])
+
+    return map_texts(texts, fn, "id long, hashes binary")
 
-    ``members``: key, id, component, n_shingles, sketch, blocks (how many blocks
-    the bucket is cut in).  A member goes to every pair of blocks that holds its
-    own, so a task sees two blocks at a time whatever the bucket's size.
+
+def cross_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links between different components of one bucket.
+
+    ``members``: key, id, component, n_shingles, sketch, hashes, blocks (how
+    many blocks the bucket is cut in).  A member goes to every pair of blocks
+    that holds its own, so a task sees two blocks at a time whatever the
+    bucket's size.  Pairs that sizes and sketches allow are tested on the full
+    sets, the likeliest first; one link to a component is enough, so only links
+    leave the task, at most one for a member and component.
     """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     dealt = (
         members.withColumn("own", own)
         .withColumn("other", other)
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "sketch")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "sketch", "hashes")
     )
 
     def fn(key, t):
-        found_a, found_b = [NONE], [NONE]
+        found = [(NONE, NONE)]
         own, ids, comp, n = (t.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles"))
         ids, at = np.unique(ids, return_index=True)
         own, comp, n = own[at], comp[at], n[at]
         if comp.min() != comp.max():
-            sketch = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()])[at]
+            sketch, sets = ([np.frombuffer(x, kind) for x in t.column(c).take(pa.array(at)).to_pylist()] for c, kind in (("sketch", np.uint8), ("hashes", np.uint64)))
+            sketch = np.stack(sketch)
             i, j = key[1].as_py(), key[2].as_py()
             others = np.flatnonzero(own == j)
             for x in np.flatnonzero(own == i):
                 y = others[others > x] if i == j else others
                 y = y[comp[y] != comp[x]]
                 if len(y):
-                    y = y[_agree(sketch[x][None, :], sketch[y], n[x], n[y], percent)]
-                found_a.append(np.minimum(ids[x], ids[y]))
-                found_b.append(np.maximum(ids[x], ids[y]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+                    linked = _first_links(x, y, comp, n, sketch, sets, percent)
+                    found.append((np.minimum(ids[x], ids[linked]), np.maximum(ids[x], ids[linked])))
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pa.table({"a": a, "b": b})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(fn, "a long, b long").distinct()
 
 
+def _first_links(x, y, comp, n, sketch, sets, percent) -> np.ndarray:
+    """Of the members ``y``, the first of each component that links with ``x``."""
+    same = (sketch[x][None, :] == sketch[y]).sum(axis=1)
+    ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (same >= (percent / 100 - SKETCH_SLACK) * sketch.shape[1])
+    y, same = y[ok], same[ok]
+    done, linked = set(), []
+    for k in y[np.argsort(-same, kind="stable")].tolist():
+        if comp[k] in done:
+            continue
+        place = np.minimum(np.searchsorted(sets[x], sets[k]), len(sets[x]) - 1)
+        shared = int((sets[x][place] == sets[k]).sum())
+        if 100 * shared >= percent * (len(sets[x]) + len(sets[k]) - shared):
+            done.add(comp[k])
+            linked.append(k)
+    return np.array(linked, np.int64)
+
+
 def near_duplicates(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -237,16 +283,19 @@ def near_duplicates(
 
     # what is left: buckets that hold several components
     placed = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = (
-        placed.join(open_, "key", "left_semi")
-        .join(reps.select("id", "n_shingles", "sketch"), "id")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-        .select("key", "id", "component", "n_shingles", "sketch", "blocks")
+    sized = reps.select("id", "n_shingles", "sketch")
+    open_ = (
+        placed.join(sized, "id")
+        .groupBy("key")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("total"))
+        .where("lo < hi")
+        .select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"))
     )
-    more = work.save(cross_pairs(members, percent).join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        found = work.save(confirm(more, _texts(base, more), shingle_words, percent), "more-links")
+    members = work.save(placed.select("key", "id", "component").join(open_, "key"), "members")
+    asked = members.select("id").distinct()
+    sets = work.save(set_table(base.select("id", "text").join(asked, "id", "left_semi"), shingle_words), "sets")
+    found = work.save(cross_links(members.join(sized, "id").join(sets, "id"), percent), "more-links")
+    if not found.isEmpty():
         labels = connected_components(links.unionByName(found), "a", "b", Workspace(spark, "minhash-components"))
     rep_of = classes.join(labels, classes["rep"] == labels["node"], "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", *same).join(rep_of, same, "left").withColumn("component", F.coalesce("component", "id"))
