@@ -276,9 +276,11 @@ def near_duplicates(
     banded = reps.select("id", F.explode("keys").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = work.save(banded.join(buckets, "key"), "buckets")
+    # texts of all documents that met another move once; both confirmations read them
+    texts = work.save(base.select("id", "text").join(met.select("id").distinct(), "id", "left_semi"), "texts")
     stars = met.where("id > center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = work.save(_plausible(stars, reps, percent), "stars")
-    links = work.save(confirm(stars, _texts(base, stars), shingle_words, percent), "links")
+    links = work.save(confirm(stars, texts, shingle_words, percent), "links")
     labels = connected_components(links, "a", "b", Workspace(spark, "minhash-components"))
 
     # what is left: buckets that hold several components
@@ -293,7 +295,7 @@ def near_duplicates(
     )
     members = work.save(placed.select("key", "id", "component").join(open_, "key"), "members")
     asked = members.select("id").distinct()
-    sets = work.save(set_table(base.select("id", "text").join(asked, "id", "left_semi"), shingle_words), "sets")
+    sets = work.save(set_table(texts.join(asked, "id", "left_semi"), shingle_words), "sets")
     found = work.save(cross_links(members.join(sized, "id").join(sets, "id"), percent), "more-links")
     if not found.isEmpty():
         labels = connected_components(links.unionByName(found), "a", "b", Workspace(spark, "minhash-components"))
@@ -304,9 +306,3 @@ def near_duplicates(
         (F.col("id") == F.col("component")).alias("kept"),
     )
 
-
-def _texts(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Texts of the documents of candidate pairs."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    work = Workspace(base.sparkSession, "minhash-texts")
-    return work.save(base.select("id", "text").join(asked, "id", "left_semi"), "texts")
