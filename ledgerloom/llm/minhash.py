@@ -276,8 +276,8 @@ def near_duplicates(
     banded = reps.select("id", F.explode("keys").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = work.save(banded.join(buckets, "key"), "buckets")
-    # texts of all documents that met another move once; both confirmations read them
-    texts = work.save(base.select("id", "text").join(met.select("id").distinct(), "id", "left_semi"), "texts")
+    # texts of all documents that met another move once, at every size by the same join; both confirmations read them
+    texts = work.save(base.select("id", "text").join(met.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     stars = met.where("id > center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = work.save(_plausible(stars, reps, percent), "stars")
     links = work.save(confirm(stars, texts, shingle_words, percent), "links")
