@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import minhash, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from ledgerloom.llm import decontam, langid, lm_score, minhash, packing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 from ledgerloom.llm.common import Workspace
 
 
@@ -86,6 +86,25 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item met in it; clean documents have none."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 SHARDS = 24
 
 
@@ -100,7 +119,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_minhash": op4_minhash,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontam": op6_decontam,
+    "op7_langid": op7_langid,
+    "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL}

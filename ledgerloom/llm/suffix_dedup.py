@@ -421,3 +421,18 @@ def _rendered(part, texts, gone) -> pa.RecordBatch:
         [part.column("id"), part.column("digest"), pa.array(size), pa.array(size - np.diff(bounds)), spans, kept],
         names=["id", "digest", "n_bytes", "n_removed", "spans", "kept"],
     )
+
+
+def clean(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the removed bytes cut from their texts; characters cut in half go too.
+
+    Null texts stay null.
+    """
+    out = remove_repeats(docs, width, key=key, text=text)
+    cut = out.where("n_removed > 0").select(F.col(key).alias("_id"), F.col("digest").alias("_digest"), F.expr("try_validate_utf8(cast(kept as string))").alias("_valid"), F.col("kept").alias("_kept"))
+    cut = cut.dropDuplicates(["_id", "_digest"])
+    # bytes that are no whole character any more are dropped where the rest is decoded
+    kept = F.coalesce("_valid", F.replace(F.expr("make_valid_utf8(cast(_kept as string))"), F.lit("\ufffd"), F.lit("")))
+    same = docs[key].eqNullSafe(cut["_id"]) & (F.crc32(F.coalesce(docs[text], F.lit(""))) == cut["_digest"])
+    joined = docs.join(cut, same, "left")
+    return joined.select(*(F.when(F.col("_digest").isNotNull(), kept).otherwise(docs[text]).alias(text) if c == text else docs[c] for c in docs.columns))
