@@ -19,7 +19,7 @@ from ledgerloom.sources.workspace import Workspace, shuffle_partitions  # noqa:
 U64 = np.uint64
 
 #: Bytes of text handled at once inside a task; bounds the temporaries.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------------------
@@ -136,28 +136,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Powers:
+    """Powers of an odd base mod 2**64 and of its inverse, kept once a process."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n * 9 // 8, 1 << 16)
+            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return self.up, self.down
+
+
+_POWERS = [_Powers(0x5851F42D4C957F2D), _Powers(0x2545F4914F6CDD1D)]
+
+
 class Rolling:
     """64-bit hashes of arbitrary spans of a byte or word sequence.
 
     A span's hash is the difference of two prefix sums of value times power,
     divided by the power at its start (the odd base has an inverse mod 2**64),
-    then mixed.  Powers grow with the longest run seen and are kept.
+    then mixed.  Two hashes of different ``lane`` are independent.
     """
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, lane: int = 0):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self._up = self._down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, 2 * len(self._up), 1 << 16)
-            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self._up, self._down
+        self._powers = _POWERS[lane].upto
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         up, _ = self._powers(len(values) + 1)

@@ -35,7 +35,7 @@ WINDOW = 13
 TAG = 5
 
 _BYTES, _SEQ = Rolling(301), Rolling(302)
-_BYTES2, _SEQ2 = Rolling(303), Rolling(304)
+_BYTES2, _SEQ2 = Rolling(303, 1), Rolling(304, 1)
 
 
 def _columns(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

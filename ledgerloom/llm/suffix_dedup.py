@@ -42,7 +42,7 @@ WIDTH = 100
 GRAM = 24
 TAG = 6
 
-_BYTES, _BYTES2 = Rolling(501), Rolling(502)
+_BYTES, _BYTES2 = Rolling(501), Rolling(502, 1)
 
 
 def slide(f, x: np.ndarray, width: int) -> np.ndarray:
