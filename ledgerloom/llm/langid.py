@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import LOWER, Texts, chunks, map_texts, texts_of
 
 DIM_BITS = 12
-PER_LANGUAGE = 600
+PER_LANGUAGE = 500
 UND = "und"
 
 #: Families of ISO 639-1 codes; others are families of their own.
@@ -125,7 +125,7 @@ class Model:
         families = sorted({family_of(c) for c in known})
         if not known:
             return cls([], [], {}, {})
-        x = features(texts_of(pa.array(texts, pa.large_string())))
+        x = np.concatenate([features(texts_of(pa.array(texts[i : i + 128], pa.large_string()))) for i in range(0, len(texts), 128)])
         lang = np.array(langs)
         fam = np.array([family_of(c) for c in langs])
         by_family = {f: _machine(x, np.where(fam == f, 1.0, -1.0)) for f in families} if len(families) > 1 else {}
