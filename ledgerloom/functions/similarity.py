@@ -177,7 +177,7 @@ def jaro_winkler(a: str, b: str) -> float:
     start = 0
     while start < min(4, len(a), len(b)) and a[start] == b[start]:
         start += 1
-    return jaro + start * 0.1 * (1 - jaro)
+    return jaro + start * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
 jaro_winkler_similarity = _pairwise(jaro_winkler)

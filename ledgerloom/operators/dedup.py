@@ -174,7 +174,11 @@ def merge_clusters(assigned: DataFrame, links: DataFrame) -> DataFrame:
 
 def char_grams(c: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """All runs of 2 and 3 characters; none of a shorter text."""
-    runs = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i, n=n: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    def run(n):
+        places = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+        return F.when(F.length(c) >= n, F.transform(places, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(n) for n in sizes]
     return F.concat(*runs)
 
 

@@ -4,7 +4,611 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import normalize as N
+from ledgerloom.functions import similarity as S
+from ledgerloom.functions import values as V
+from ledgerloom.operators import collapse, contacts, dedup, judge, legacy, linkage, outputs, review
+from ledgerloom.plans import fixtures as X
+from ledgerloom.plans import oracle as O
+from ledgerloom.plans import reconcile
+from ledgerloom.sources import mapping, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def r6(c: str, alias: str | None = None):
+    return F.round(F.col(c), 6).alias(alias or c)
+
+
+# ------------------------------------------------------------------ scalars (F)
+
+
+def _name_query(name, fn, sql):
+    query(f"with registry as ({X.REGISTRY}) select registry_index, {sql} as value from registry", name)(
+        lambda spark, d: X.registry(spark, d).select("registry_index", fn().alias("value"))
+    )
+
+
+_n, _a = lambda: F.col("business_name"), lambda: F.col("address1")
+_name_query("normalize_name_match", lambda: N.match_name(_n()), O.match_name("business_name"))
+_name_query("normalize_name_dedup", lambda: N.dedup_name(_n()), O.dedup_name("business_name"))
+_name_query("normalize_name_simple", lambda: N.simple_name(_n()), O.simple_name("business_name"))
+_name_query("normalize_address_match", lambda: N.match_address(_a()), O.match_address("address1"))
+_name_query("normalize_address_dedup", lambda: N.dedup_address(_a()), O.dedup_address("address1"))
+_name_query("normalize_address_near", lambda: N.near_address(_a()), O.near_address("address1"))
+_name_query("street_number", lambda: N.street_number(_a()), O.street_number("address1"))
+_name_query("street_number_wide", lambda: N.street_number_wide(_a()), O.street_number_wide("address1"))
+_name_query("street_name", lambda: N.street_name(_a()), O.street_name("address1"))
+_name_query("po_box_test", lambda: N.is_po_box(_a()), r"regexp_matches(address1, '(?i)p\.?\s*o\.?\s*box')")
+_name_query("po_box_number", lambda: N.po_box_number(_a()), r"regexp_extract(address1, '(?i)p\.?\s*o\.?\s*box\s*#?\s*(\d+)', 1)")
+_name_query("prompt_field", lambda: N.prompt_field(_n()), "case when trim(replace(left(business_name, 250), chr(10), ' ')) = '' then '(blank)' else replace(left(business_name, 250), chr(10), ' ') end")
+
+
+@query(
+    f"""with contacts as ({X.CONTACTS}), d as (select id, phone_2, regexp_replace(phone_2, '\\D', '', 'g') as d, regexp_replace(phone_1, '\\D', '', 'g') as plain from contacts)
+select id, plain, case when length(d) = 11 and d[1] = '1' then substr(d, 2) when length(d) <= 10 then d else phone_2 end as national from d"""
+)
+def phone_digits(spark, d):
+    return X.contacts(spark, d).select("id", N.digits(F.col("phone_1")).alias("plain"), N.phone(F.col("phone_2")).alias("national"))
+
+
+@query(f"with contacts as ({X.CONTACTS}) select id, contains(regexp_replace(split_part(lower(email), '@', 1), '[^a-z]', '', 'g'), 'customer') as fits from contacts")
+def email_name(spark, d):
+    return X.contacts(spark, d).select("id", N.email_matches_name(F.col("email"), F.col("person")).alias("fits"))
+
+
+# ------------------------------------------------------------------ similarity
+
+
+def _pairs(spark, d):
+    """Registry and master names that share a block, each once."""
+    a = linkage.prepared(X.registry(spark, d), "a", "registry_index", "business_name", "address1").select("block", "a_norm", "a_sorted").distinct()
+    b = linkage.prepared(X.master(spark, d), "b", "master_index", "name", "address1").select("block", "b_norm", "b_sorted").distinct()
+    return a.join(b, "block")
+
+
+_PAIRS = f"with {O.SIDES}, n as (select distinct a_norm, b_norm, a_sorted, b_sorted from pairs)"
+
+
+@query(f"{_PAIRS} select a_norm, b_norm, round({O.ratio('a_norm', 'b_norm')}, 6) as score from n")
+def similarity_ratio(spark, d):
+    return _pairs(spark, d).withColumn("score", S.ratio(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", r6("score"))
+
+
+@query(f"{_PAIRS} select a_norm, b_norm, round({O.ratio('a_sorted', 'b_sorted')}, 6) as score from n")
+def similarity_token_sort(spark, d):
+    return _pairs(spark, d).withColumn("score", S.token_sort_ratio(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", r6("score"))
+
+
+@query(f"{_PAIRS} select a_norm, b_norm, round(set_score, 6) as score from ({O.token_sets('n', 'a_norm', 'b_norm')})")
+def similarity_token_set(spark, d):
+    return _pairs(spark, d).withColumn("score", S.token_set_ratio(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", r6("score"))
+
+
+@query(f"{_PAIRS} select a_norm, b_norm, a_norm <> '' and b_norm <> '' and (contains(a_norm, b_norm) or contains(b_norm, a_norm)) as inside from n")
+def substring_match(spark, d):
+    return _pairs(spark, d).select("a_norm", "b_norm", S.substring_match(F.col("a_norm"), F.col("b_norm")).alias("inside"))
+
+
+@query()
+def similarity_partial(spark, d):
+    return _pairs(spark, d).withColumn("score", S.partial_ratio("a_norm", "b_norm")).select("a_norm", "b_norm", r6("score"))
+
+
+@query()
+def similarity_weighted(spark, d):
+    return _pairs(spark, d).withColumn("score", S.weighted_ratio("a_norm", "b_norm")).select("a_norm", "b_norm", r6("score"))
+
+
+@query()
+def similarity_sequence(spark, d):
+    return _pairs(spark, d).withColumn("score", S.sequence_ratio("a_norm", "b_norm")).select("a_norm", "b_norm", r6("score"))
+
+
+@query(f"{_PAIRS} select a_norm, b_norm, round(jaro_winkler_similarity(a_norm, b_norm), 6) as score from n where a_norm <> '' and b_norm <> ''")
+def similarity_jaro_winkler(spark, d):
+    pairs = _pairs(spark, d).where("a_norm <> '' and b_norm <> ''")
+    return pairs.withColumn("score", S.jaro_winkler_similarity("a_norm", "b_norm")).select("a_norm", "b_norm", r6("score"))
+
+
+# ------------------------------------------------------------------ linkage
+
+
+def _sides(spark, d):
+    return (
+        linkage.prepared(X.registry(spark, d), "a", "registry_index", "business_name", "address1"),
+        linkage.prepared(X.master(spark, d), "b", "master_index", "name", "address1"),
+    )
+
+
+@query(f"with {O.SIDES} select registry_index, master_index from pairs")
+def candidate_join(spark, d):
+    return linkage.candidate_pairs(*_sides(spark, d), pushed=False).select("registry_index", "master_index")
+
+
+@query(f"with {O.SIDES} select registry_index, master_index from pairs where a_num = '' or b_num = '' or a_num = b_num")
+def candidate_join_pushed(spark, d):
+    return linkage.candidate_pairs(*_sides(spark, d)).select("registry_index", "master_index")
+
+
+@query(
+    f"with {O.SCORED} select registry_index, master_index, round(name_score, 6) as name_score, round(address_score, 6) as address_score, "
+    "case when a_num <> '' and b_num <> '' then a_num = b_num end as number_match, verdict from candidates"
+)
+def rule_filter(spark, d):
+    return linkage.rule_filter(*_sides(spark, d)).select("registry_index", "master_index", r6("name_score"), r6("address_score"), "number_match", "verdict")
+
+
+@query(f"with {O.JUDGED} select registry_index, master_index, round(set_score, 6) as simple_score, decision from judged")
+def prejudge(spark, d):
+    return linkage.prejudge(linkage.rule_filter(*_sides(spark, d))).select("registry_index", "master_index", r6("simple_score"), "decision")
+
+
+def _matched(spark, d):
+    return reconcile.match(X.registry(spark, d), X.master(spark, d), judge.UncertainJudge())
+
+
+@query(f"with {O.JUDGED} select registry_index, master_index, final_decision from final")
+def final_decision(spark, d):
+    return _matched(spark, d).select("registry_index", "master_index", "final_decision")
+
+
+@query(
+    f"""with {O.JUDGED} select count(*) as total, count(*) filter (final_decision = 'AUTO_MATCH') as auto_match, count(*) filter (final_decision = 'AUTO_REJECT') as auto_reject,
+ count(*) filter (final_decision = 'NEEDS_REVIEW') as needs_review, 0::bigint as human_accept, count(*) filter (final_decision = 'AUTO_MATCH') as confirmed from final"""
+)
+def match_stats(spark, d):
+    return linkage.match_stats(_matched(spark, d))
+
+
+@query(f"with {O.JUDGED} select registry_index, business_name, address1 from registry where registry_index not in (select registry_index from final where final_decision = 'AUTO_MATCH')")
+def residual_registry(spark, d):
+    return linkage.residue(X.registry(spark, d), _matched(spark, d), "registry_index").select("registry_index", "business_name", "address1")
+
+
+@query(f"with {O.JUDGED} select master_index, uuid, name from master where master_index not in (select master_index from final where final_decision = 'AUTO_MATCH')")
+def residual_master(spark, d):
+    return linkage.residue(X.master(spark, d), _matched(spark, d), "master_index").select("master_index", "uuid", "name")
+
+
+@query(
+    f"""with {O.JUDGED} select f.registry_index, f.master_index, r.business_name, r.address1, m.uuid, m.name, m.address1 as master_address1 from final f
+ join registry r using (registry_index) join master m using (master_index) where final_decision = 'AUTO_MATCH'"""
+)
+def matched_side_by_side(spark, d):
+    out = linkage.side_by_side(_matched(spark, d), X.registry(spark, d), X.master(spark, d), "registry_index", "master_index")
+    return out.select("registry_index", "master_index", "business_name", "address1", "uuid", "name", "master_address1")
+
+
+@query(
+    f"""with {O.JUDGED} select registry_index, master_index from pairs where (a_num = '' or b_num = '' or a_num = b_num)
+ and registry_index not in (select registry_index from final where final_decision = 'AUTO_MATCH')
+ and master_index not in (select master_index from final where final_decision = 'AUTO_MATCH')"""
+)
+def second_pass_pairs(spark, d):
+    pairs = _matched(spark, d).select("registry_index", "master_index", "final_decision")
+    a, b = _sides(spark, d)
+    rest = linkage.candidate_pairs(linkage.without_matched(a, pairs, "registry_index"), linkage.without_matched(b, pairs, "master_index"))
+    return rest.select("registry_index", "master_index")
+
+
+@query(f"with {O.JUDGED} select f.registry_index, f.master_index, r.business_name, m.name from final f join registry r using (registry_index) join master m using (master_index) where final_decision = 'NEEDS_REVIEW'")
+def review_queue(spark, d):
+    queue = review.review_queue(_matched(spark, d).select("registry_index", "master_index", "final_decision"), X.registry(spark, d), X.master(spark, d), "registry_index", "master_index")
+    return queue.select("registry_index", "master_index", F.col("registry.business_name").alias("business_name"), F.col("master.name").alias("name"))
+
+
+@query(f"with {O.JUDGED} select registry_index, master_index, a_name, b_name from final where final_decision = 'AUTO_MATCH' and (contains(lower(a_name), 'steel') or contains(lower(b_name), 'steel'))")
+def matches_search(spark, d):
+    return review.searched(linkage.confirmed(_matched(spark, d)), "STEEL", ["a_name", "b_name"]).select("registry_index", "master_index", "a_name", "b_name")
+
+
+# ------------------------------------------------------------------ dedup
+
+
+def _prepared(spark, d):
+    return dedup.preprocess(X.registry(spark, d), "registry_index", "business_name", "address1")
+
+
+def _assigned(spark, d):
+    return dedup.clusters(_prepared(spark, d)).select("idx", "cluster")
+
+
+@query(f"with {O.DEDUP} select a, b from links")
+def dedup_pairs(spark, d):
+    return dedup.duplicate_links(_prepared(spark, d))
+
+
+_CLUSTERS = f"""with recursive {O.DEDUP}, e as (select a as x, b as y from links union all select b, a from links),
+reach as (select idx as x, idx as y from forms union select r.x, e.y from reach r join e on r.y = e.x),
+least as (select x as idx, min(y) as least from reach group by x),
+formed as (select p.idx, f.idx as form from p join forms f using (raw, norm, tokens, address, street, number, box, kind)),
+assigned as (select formed.idx, dense_rank() over (order by least) - 1 as cluster from formed join least on formed.form = least.idx)"""
+
+
+@query(f"{_CLUSTERS} select idx, cluster from assigned")
+def dedup_clusters(spark, d):
+    return _assigned(spark, d)
+
+
+@query(
+    f"""{_CLUSTERS}, k as (select *, (business_name = '')::int + (address1 = '')::int as blanks from registry join assigned on registry_index = idx)
+select cluster, registry_index, business_name, address1 from (select *, row_number() over (partition by cluster order by blanks, registry_index) as r from k) where r = 1"""
+)
+def cluster_representative(spark, d):
+    return reconcile.deduplicate(X.registry(spark, d)).select("cluster", "registry_index", "business_name", "address1")
+
+
+@query(f"{_CLUSTERS}, s as (select count(*) as size from assigned group by cluster) select size, count(*) as clusters, size * count(*) as rows from s group by size")
+def cluster_sizes(spark, d):
+    return collapse.cluster_sizes(_assigned(spark, d)).select("size", "clusters", "rows")
+
+
+def _clustered(spark, d):
+    return X.registry(spark, d).join(_assigned(spark, d), F.col("registry_index") == F.col("idx")).drop("idx")
+
+
+@query(
+    f"""{_CLUSTERS}, k as (select * from registry join assigned on registry_index = idx),
+v as (select cluster, count(*) as n, count(distinct business_name) as business_name, count(distinct address1) as address1 from k group by cluster having count(*) > 1)
+select 'business_name' as column_name, count(*) as clusters from v where business_name > 1 having count(*) > 0
+union all select 'address1', count(*) from v where address1 > 1 having count(*) > 0"""
+)
+def varying_columns(spark, d):
+    return collapse.varying_columns(_clustered(spark, d), "cluster", ["business_name", "address1"])
+
+
+@query(
+    f"""{_CLUSTERS}, k as (select * from registry join assigned on registry_index = idx),
+w as (select cluster, list(business_name order by registry_index) as n, list(address1 order by registry_index) as a from k group by cluster)
+select cluster, array_to_string(case when len(list_distinct(n)) = 1 then n[1:1] else n end, '|') as names, array_to_string(case when len(list_distinct(a)) = 1 then a[1:1] else a end, '|') as addresses from w"""
+)
+def cluster_wide(spark, d):
+    wide = collapse.widened(_clustered(spark, d), "cluster", "registry_index", ["business_name", "address1"])
+    return wide.select("cluster", F.array_join("business_name", "|").alias("names"), F.array_join("address1", "|").alias("addresses"))
+
+
+_INSIDE = f"""{_CLUSTERS}, m as (select p.*, cluster from p join assigned using (idx)),
+ip as (select a.cluster, a.idx as a, b.idx as b, a.tokens as ta, b.tokens as tb, a.address as aa, b.address as ba, a.number as an, b.number as bn, a.kind = 'blank' or b.kind = 'blank' as blank,
+  {O.sorted_tokens('a.address')} as sa, {O.sorted_tokens('b.address')} as sb from m a join m b on a.cluster = b.cluster and a.idx < b.idx),
+nn as (select ta, tb, {O.ratio('ta', 'tb')} as ns from (select distinct ta, tb from ip)), aa_ as (select sa, sb, {O.ratio('sa', 'sb')} as ads from (select distinct sa, sb from ip)),
+inside as (select *, case when aa <> '' and aa = ba and ns >= 95 then 'KEEP' when an <> '' and bn <> '' and an <> bn then 'SPLIT'
+  when blank or (ads >= 70 and ns >= 85) then 'JUDGE' else 'NONE' end as action from ip join nn using (ta, tb) join aa_ using (sa, sb))"""
+
+
+def _inside(spark, d):
+    members = _prepared(spark, d).join(_assigned(spark, d), "idx")
+    return dedup.verify_inside(dedup.cluster_pairs(members))
+
+
+@query(f"{_INSIDE} select action, count(*) as n, sum(a) as sum_a, sum(b) as sum_b, round(sum(ns), 3) as names from inside group by action")
+def intra_verify(spark, d):
+    return _inside(spark, d).groupBy("action").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a_idx").cast("decimal(38,0)").alias("sum_a"), F.sum("b_idx").cast("decimal(38,0)").alias("sum_b"), F.round(F.sum("name_score"), 3).alias("names")
+    )
+
+
+@query(
+    f"""{_INSIDE}, s as (select idx, (select max(cluster) from assigned) + row_number() over (order by idx) as fresh from (select distinct b as idx from inside where action = 'SPLIT'))
+select idx, coalesce(fresh, cluster) as cluster from assigned left join s using (idx)"""
+)
+def intra_split(spark, d):
+    return dedup.apply_splits(_assigned(spark, d), _inside(spark, d).where("action = 'SPLIT'").select(F.col("b_idx").alias("idx"))).select("idx", "cluster")
+
+
+@query(
+    f"""{_CLUSTERS}, m as (select p.*, cluster, {O.sorted_tokens('address')} as sa from p join assigned using (idx)),
+q as (select a.idx as a, b.idx as b, a.tokens as ta, b.tokens as tb, a.sa as sa, b.sa as sb, a.kind = 'blank' or b.kind = 'blank' as blank from m a join m b on a.idx < b.idx and a.cluster <> b.cluster
+  where 200 * least(length(a.tokens), length(b.tokens)) >= 92 * (length(a.tokens) + length(b.tokens))),
+nn as (select ta, tb, {O.ratio('ta', 'tb')} as ns from (select distinct ta, tb from q)), q2 as (select * from q join nn using (ta, tb) where ns >= 92),
+ad as (select sa, sb, {O.ratio('sa', 'sb')} as ads from (select distinct sa, sb from q2)) select a, b, round(ns, 6) as name_score from q2 join ad using (sa, sb) where blank or ads >= 80"""
+)
+def near_miss(spark, d):
+    return dedup.near_misses(_prepared(spark, d).join(_assigned(spark, d), "idx")).select("a", "b", r6("name_score"))
+
+
+@query()
+def near_miss_merge(spark, d):
+    members = _prepared(spark, d).join(_assigned(spark, d), "idx")
+    return dedup.merge_clusters(_assigned(spark, d), dedup.near_misses(members)).select("idx", "cluster")
+
+
+@query()
+def cluster_review_groups(spark, d):
+    members = _prepared(spark, d).join(_assigned(spark, d), "idx")
+    open_ = dedup.near_misses(members).select("a", "b", F.lit("UNCERTAIN").alias("decision"))
+    groups = review.cluster_groups(open_, _assigned(spark, d))
+    return groups.select("component", F.array_join(F.transform("clusters", lambda c: c.cast("string")), ",").alias("clusters"), F.size("linking_pairs").alias("links"))
+
+
+_GRAMS = f"""with registry as ({X.REGISTRY}), n as (select registry_index, {O.dedup_name('business_name')} as norm from registry),
+g as (select registry_index, unnest(list_concat(list_transform(range(1, length(norm)), lambda i: substr(norm, i::bigint, 2)), list_transform(range(1, greatest(length(norm) - 1, 1)), lambda i: substr(norm, i::bigint, 3)))) as gram from n),
+tf as (select registry_index, gram, count(*) as tf from g group by all), df as (select gram, count(*) as df from tf group by gram),
+w as (select registry_index, gram, tf * (ln((1 + (select count(*) from registry))::double / (1 + df)) + 1) as w from tf join df using (gram)),
+l as (select registry_index, sqrt(sum(w * w)) as l from w group by registry_index)"""
+
+
+@query(f"{_GRAMS} select registry_index, gram, round(w / l, 6) as weight from w join l using (registry_index)")
+def tfidf_weights(spark, d):
+    records = X.registry(spark, d).select("registry_index", N.dedup_name(F.col("business_name")).alias("norm"))
+    return dedup.tfidf(records, "registry_index", "norm").select("registry_index", "gram", r6("weight"))
+
+
+@query()
+def plane_buckets(spark, d):
+    records = X.registry(spark, d).select("registry_index", N.dedup_name(F.col("business_name")).alias("norm"))
+    return dedup.plane_buckets(dedup.tfidf(records, "registry_index", "norm"), "registry_index")
+
+
+# ------------------------------------------------------------------ values
+
+_CUSTOM = f"with custom as ({X.CUSTOM})"
+
+
+@query(f"with contacts as ({X.CONTACTS}) select id, coalesce((select v from (select unnest([phone_1, phone_2, phone_3]) as v, generate_subscripts([1, 2, 3], 1) as i) order by length(trim(v)) desc, i limit 1), '') as value from contacts")
+def longest_value(spark, d):
+    return X.contacts(spark, d).select("id", V.longest(F.array("phone_1", "phone_2", "phone_3")).alias("value"))
+
+
+@query(f"with contacts as ({X.CONTACTS}) select id, coalesce(nullif(trim(phone_3), ''), nullif(trim(phone_2), ''), '') as value from contacts")
+def first_nonempty(spark, d):
+    return X.contacts(spark, d).select("id", V.first_filled(F.col("phone_3"), F.col("phone_2")).alias("value"))
+
+
+@query(
+    f"""with contacts as ({X.CONTACTS}), k as (select id, phone_1 as p1, phone_2 as p2, phone_3 as p3, regexp_replace(phone_1, '\\D', '', 'g') as d1, regexp_replace(phone_2, '\\D', '', 'g') as d2, phone_3 as d3 from contacts),
+s as (select *, not (ends_with(d2, d1) or ends_with(d1, d2)) as keep2 from k)
+select id, concat_ws(', ', p1, case when keep2 then p2 end, case when d3 <> '' and not (ends_with(d1, d3) or ends_with(d3, d1)) and not (keep2 and (ends_with(d2, d3) or ends_with(d3, d2))) then p3 end) as phones from s"""
+)
+def phone_merge(spark, d):
+    return X.contacts(spark, d).select("id", V.merged_phones(F.array("phone_1", "phone_2", "phone_3")).alias("phones"))
+
+
+@query(
+    f"""with contacts as ({X.CONTACTS}) select id, concat_ws(';', phone_1, case when regexp_replace(phone_2, '\\D', '', 'g') <> regexp_replace(phone_1, '\\D', '', 'g') then phone_2 end,
+ case when phone_3 <> '' and phone_3 <> regexp_replace(phone_1, '\\D', '', 'g') and phone_3 <> regexp_replace(phone_2, '\\D', '', 'g') then phone_3 end) as phones from contacts"""
+)
+def phone_range_distinct(spark, d):
+    return X.contacts(spark, d).select("id", V.distinct_phones(F.array("phone_1", "phone_2", "phone_3")).alias("phones"))
+
+
+@query(f"{_CUSTOM} select custom_uuid, array_to_string(list_sort(list_distinct(list_filter([trim(state), trim(opened), trim(state)], lambda v: v <> ''))), ';') as value from custom")
+def distinct_concat(spark, d):
+    return X.custom(spark, d).select("custom_uuid", V.distinct_joined(F.array("state", "opened", "state")).alias("value"))
+
+
+@query(
+    f"""{_CUSTOM}, t as (select custom_uuid, unnest(string_split(replace(capacity, ';', ' '), ' ')) as t from custom),
+v as (select custom_uuid, case when regexp_full_match(t, '\\d+') then t::hugeint when regexp_full_match(t, '\\d*\\.\\d+|\\d+\\.') then ceil(t::double)::hugeint when not regexp_full_match(t, '[a-zA-Z]*') then nullif(regexp_replace(t, '\\D', '', 'g'), '')::hugeint end as v from t)
+select custom_uuid, coalesce(max(v)::varchar, '') as value from v group by custom_uuid"""
+)
+def max_number(spark, d):
+    return X.custom(spark, d).select("custom_uuid", V.largest_number(F.col("capacity")).alias("value"))
+
+
+@query(f"{_CUSTOM} select custom_uuid, coalesce(list_min(regexp_extract_all(opened, '[1-9]\\d{{3}}')), '') as value from custom")
+def earliest_year(spark, d):
+    return X.custom(spark, d).select("custom_uuid", V.earliest_year(F.col("opened")).alias("value"))
+
+
+@query(
+    f"""{_CUSTOM}, t as (select custom_uuid, unnest(string_split(replace(permit_dates, ';', ' '), ' ')) as t from custom)
+select custom_uuid, coalesce(strftime(min(try_strptime(t, '%m/%d/%Y')), '%m/%d/%Y'), '') as value from t group by custom_uuid"""
+)
+def earliest_date(spark, d):
+    return X.custom(spark, d).select("custom_uuid", V.earliest_date(F.col("permit_dates")).alias("value"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%m/%d/%Y') as value from orders")
+def date_text(spark, d):
+    return tables_(spark, d, "orders").select("o_orderkey", V.date_text(F.col("o_orderdate")).alias("value"))
+
+
+def tables_(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("select * from (values ('capacity', 'Text(Small)'), ('seats', 'Number'), ('permit_dates', 'Text(Small)'), ('state', 'Text(Small)')) t(column_name, data_type)")
+def infer_type(spark, d):
+    return outputs.data_types(X.custom(spark, d), ["capacity", "seats", "permit_dates", "state"])
+
+
+@query(f"{_CUSTOM} select custom_uuid, state, case state when 'CA' then 'United States' when 'ON' then 'Canada' else '' end as country from custom")
+def state_country(spark, d):
+    return outputs.with_country(X.custom(spark, d), "state").select("custom_uuid", "state", "country")
+
+
+@query("select c_custkey, 'CUS20240115' || lpad((row_number() over (order by c_custkey))::varchar, length((count(*) over ())::varchar)::int, '0') as id from customer")
+def sequence_ids(spark, d):
+    return outputs.sequence_ids(tables_(spark, d, "customer").select("c_custkey"), ["c_custkey"], N.id_prefix("Customers", 2024, 1, 15))
+
+
+@query(
+    f"""with master as ({X.MASTER}) select master_index, uuid, name as "Business Name", case when trim(address1) in ('', '-') then 'unknown' else address1 end as "Address1", 'True' as is_business, 'master' as business_source from master"""
+)
+def business_sheet(spark, d):
+    src = X.master(spark, d).withColumn("fallback", F.lit("unknown"))
+    return outputs.business_sheet(src, {"Business Name": ["name", "business_name"], "Address1": ["address1", "fallback"]}, source="master")
+
+
+@query(
+    f"""{_CUSTOM}, k as (select custom_uuid, capacity, coalesce(list_min(regexp_extract_all(opened, '[1-9]\\d{{3}}')), '') as opened from custom)
+select 2 as ordinal, custom_uuid, opened, capacity from k union all select 0, '', 'Year', 'Text(Small)' union all select 1, '', '', ''"""
+)
+def custom_sheet(spark, d):
+    return outputs.custom_sheet(X.custom(spark, d), "custom_uuid", {"opened": "Year", "capacity": "Text(Small)"})
+
+
+# ------------------------------------------------------------------ sources, mapping, review
+
+
+def _workbook(spark, d, how):
+    business = X.master(spark, d).withColumnRenamed("uuid", "UUID")
+    custom = X.custom(spark, d).withColumnRenamed("custom_uuid", "Custom Data Name")
+    contact = X.contacts(spark, d).withColumnRenamed("id", "ID").withColumnRenamed("person", "name")
+    out = tables.concatenated(business, custom, contact, how)
+    return out.select(F.col("UUID").alias("uuid"), "name", "seats", F.col("name_contact").alias("contact_name"))
+
+
+_JOINED = f"with master as ({X.MASTER}), custom as ({X.CUSTOM}), contacts as ({X.CONTACTS}) select uuid, name, seats, person as contact_name from master {{how}} join custom on uuid = custom_uuid {{how}} join contacts on uuid = id"
+
+
+@query(_JOINED.format(how="left"))
+def master_concat_left(spark, d):
+    return _workbook(spark, d, "left")
+
+
+@query(_JOINED.format(how="inner"))
+def master_concat_inner(spark, d):
+    return _workbook(spark, d, "inner")
+
+
+@query(
+    f"with registry as ({X.REGISTRY}) select registry_index, business_name as \"Business Name\", address1 as \"Address1\", '' as \"City\" from registry"
+)
+def mapped_registry(spark, d):
+    return mapping.apply_mapping(X.registry(spark, d), {"business_name": "Business Name", "address1": "Address1"}, ("Business Name", "Address1", "City"))
+
+
+@query(
+    """with h as (select unnest(['Owner Name', 'businessName', 'Street Address', 'ADDR2', 'zip code', 'Phone', 'owner phone', 'www', 'Latitude', 'lng', 'State Code', 'name']) as header)
+select header, case when regexp_matches(c, 'businessname|dbaname|companyname|bizname') and not regexp_matches(c, 'owner|contact') then 'Business Name' when c = 'name' then 'Business Name'
+ when regexp_matches(c, 'address1|streetaddress|addr1|^address$') and not regexp_matches(c, '2|two|owner') then 'Address1' when regexp_matches(c, 'address2|addr2|suite|unit') then 'Address2'
+ when c = 'city' then 'City' when regexp_matches(c, '^state$|statecode') then 'State' when c = 'country' then 'Country' when regexp_matches(c, '^zip|postal|zipcode') then 'Zipcode'
+ when regexp_matches(c, '^phone$|businessphone') and not contains(c, 'owner') then 'Phonenumber' when regexp_matches(c, 'website|^web$|^url$') then 'Website'
+ when regexp_matches(c, '^lat$|latitude') then 'Lat' when regexp_matches(c, '^lon$|^lng$|^long$|longitude') then 'Long' else 'SKIP' end as field
+from (select header, regexp_replace(lower(header), '[^a-z0-9]', '', 'g') as c from h)"""
+)
+def header_guess(spark, d):
+    names = ["Owner Name", "businessName", "Street Address", "ADDR2", "zip code", "Phone", "owner phone", "www", "Latitude", "lng", "State Code", "name"]
+    return spark.createDataFrame([(n,) for n in names], "header string").select("header", mapping.guess_field(F.col("header")).alias("field"))
+
+
+@query(
+    f"with decisions as ({X.DECISIONS}) select pair_id, event_id, decision from (select *, row_number() over (partition by pair_id order by reviewed_at desc, event_id desc) as r from decisions) where r = 1"
+)
+def latest_decision(spark, d):
+    return review.latest(X.decisions(spark, d), "pair_id", "reviewed_at", "event_id").select("pair_id", "event_id", "decision")
+
+
+@query(f"with decisions as ({X.DECISIONS}) select decision, count(*) as n, count(distinct pair_id) as pairs from decisions group by decision")
+def decision_counts(spark, d):
+    return X.decisions(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pair_id").alias("pairs"))
+
+
+_RUNS = "select o_orderkey as run_id, o_custkey as city_id, case o_orderstatus when 'F' then 'failed' when 'O' then 'running' else 'paused' end as status from orders"
+
+
+@query(
+    f"""with runs as ({_RUNS}), last as (select * from (select *, row_number() over (partition by city_id order by run_id desc) as r from runs) where r = 1),
+j as (select c_custkey as city_id, c_name, run_id, coalesce(status, 'not_started') as status from customer left join last on city_id = c_custkey)
+select city_id, c_name, run_id, status, case status when 'paused' then 0 when 'running' then 1 when 'failed' then 2 when 'pending' then 3 when 'not_started' then 4 when 'completed' then 5 else 9 end as rank from j"""
+)
+def city_status_order(spark, d):
+    runs = tables_(spark, d, "orders").selectExpr("o_orderkey as run_id", "o_custkey as city_id", "case o_orderstatus when 'F' then 'failed' when 'O' then 'running' else 'paused' end as status")
+    cities = tables_(spark, d, "customer").select(F.col("c_custkey").alias("city_id"), "c_name", F.col("c_custkey").alias("created_at"))
+    return review.city_list(cities, runs).drop("created_at")
+
+
+# ------------------------------------------------------------------ earlier generation (L)
+
+
+def _legacy_pairs(spark, d):
+    return _pairs(spark, d).where("a_norm <> '' and b_norm <> ''")
+
+
+@query()
+def six_filter_cascade(spark, d):
+    return _legacy_pairs(spark, d).withColumn("filter", legacy.filter_number(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", "filter")
+
+
+_LEGACY = f"{_PAIRS}, s as (select a_norm, b_norm, {O.ratio('a_norm', 'b_norm')} as r, {O.ratio('a_sorted', 'b_sorted')} as t from n where a_norm <> '' and b_norm <> '')"
+
+
+@query(f"{_LEGACY} select a_norm, b_norm, case when r >= 50 then 1 else 2 end as passed from s where r >= 50 or t >= 50")
+def two_pass_match(spark, d):
+    return legacy.two_pass(_legacy_pairs(spark, d), "a_norm", "b_norm", 50).select("a_norm", "b_norm", "passed")
+
+
+@query(f"{_LEGACY} select a_norm, b_norm, round(r, 6) as score from s where r > 85")
+def fuzzy_block_join(spark, d):
+    a = X.registry(spark, d).select(N.match_name(F.col("business_name")).alias("a_norm")).where("a_norm <> ''").distinct()
+    b = X.master(spark, d).select(N.match_name(F.col("name")).alias("b_norm")).where("b_norm <> ''").distinct()
+    return legacy.fuzzy_join(a, b, "a_norm", "b_norm", F.substring("a_norm", 1, 2), F.substring("b_norm", 1, 2), 85).select("a_norm", "b_norm", r6("score"))
+
+
+@query(f"{_LEGACY}, k as (select *, row_number() over (partition by b_norm order by r desc, a_norm) as k from s) select b_norm, a_norm, round(r, 6) as score from k where k = 1")
+def best_per_master(spark, d):
+    scored = _legacy_pairs(spark, d).withColumn("score", S.ratio(F.col("a_norm"), F.col("b_norm")))
+    return collapse.best_per_key(scored, "b_norm", "score", "a_norm").select("b_norm", "a_norm", r6("score"))
+
+
+@query(
+    f"""with {O.SCORED} select registry_index, master_index, round((name_score + address_score + 100) / 3, 6) as total_score from scored
+ where name_score >= 57 and address_score >= 57 and a_num <> '' and a_num = b_num"""
+)
+def address_confirmed(spark, d):
+    scored = linkage.scored(linkage.candidate_pairs(*_sides(spark, d)))
+    ok = legacy.address_confirmed(F.col("name_score"), F.col("address_score"), (F.col("a_num") != "") & (F.col("a_num") == F.col("b_num")))
+    return scored.where(ok).select("registry_index", "master_index", F.round(legacy.total_score(F.col("name_score"), F.col("address_score"), F.lit(100.0)), 6).alias("total_score"))
+
+
+@query(f"with {O.SCORED} select registry_index, master_index, round(name_score, 6) as name_score from scored where (a_blank or b_blank) and name_score >= 70")
+def name_confirmed(spark, d):
+    scored = linkage.scored(linkage.candidate_pairs(*_sides(spark, d)))
+    return scored.where(legacy.name_confirmed(F.col("name_score"), F.col("a_blank") | F.col("b_blank"))).select("registry_index", "master_index", r6("name_score"))
+
+
+@query()
+def top1_lookup(spark, d):
+    choices = [r[0] for r in tables_(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]  # a stated list of 25
+    return legacy.top_match(X.contacts(spark, d).select("id", F.col("title")), choices, "title", 30.0).select("id", "choice", r6("score"))
+
+
+@query()
+def contained_words(spark, d):
+    return _legacy_pairs(spark, d).withColumn("share", legacy.contained_words(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", r6("share"))
+
+
+# ------------------------------------------------------------------ contacts (N)
+
+_CONFIGS = [
+    contacts.ContactConfig("phone_1", "phone_number", "work", "person", "title"),
+    contacts.ContactConfig("phone_2", "phone_number", "other", "person"),
+    contacts.ContactConfig("phone_3", "phone_number", "other"),
+    contacts.ContactConfig("email", "email", "work", "person", "title"),
+]
+
+
+@query(f"with contacts as ({X.CONTACTS}) select id, (case when trim(phone_3) = '' then 3 else 4 end)::bigint as n_people, concat_ws('|', phone_1, phone_2, nullif(phone_3, ''), email) as found from contacts")
+def contact_extract(spark, d):
+    people = contacts.extracted(X.contacts(spark, d), "id", _CONFIGS)
+    flat = F.flatten(F.transform("people", lambda p: F.transform(p["contact_sets"], lambda s: s["contact"])))
+    return people.select("id", F.size("people").cast("long").alias("n_people"), F.array_join(flat, "|").alias("found"))
+
+
+@query()
+def contact_dedup(spark, d):
+    people = contacts.merged_people(contacts.extracted(X.contacts(spark, d), "id", _CONFIGS), "id")
+    return contacts.wide(people, "id", 2, 3)
+
+
+@query("select c_mktsegment as title, count(*) as n, row_number() over (order by count(*) desc, c_mktsegment) as place from customer group by 1")
+def top_titles(spark, d):
+    counts = X.contacts(spark, d).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "title")).cast("long"))
