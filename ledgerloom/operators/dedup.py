@@ -37,26 +37,24 @@ def _distinct_forms(df: DataFrame) -> DataFrame:
     return df.groupBy(*forms).agg(F.min("idx").alias("idx"))
 
 
-def candidate_cases(forms: DataFrame) -> DataFrame:
-    """Pairs of forms that C1 can accept, by disjoint equi-joins where the rule gives a key.
+def similar_names(forms: DataFrame, column: str, sorted_column: str | None, least: int, spread: float) -> DataFrame:
+    """(a_name, b_name, score) of distinct names that reach the score, both orders and each with itself.
 
-    Two numbered addresses need equal numbers, two boxes with numbers equal box
-    numbers.  The other cases accept on names alone; they meet by length class,
-    since a name score of 83 and more bounds the lengths.
+    Names are compared once however many records bear them.  They meet by
+    length class: classes grow by ``spread``, the largest ratio of lengths that
+    the score allows, so neighbouring classes hold every partner.
     """
-    a, b = _sides(forms, "a"), _sides(forms, "b")
-    before = F.col("a_idx") < F.col("b_idx")
-    numbered = a.where("a_kind = 'numbered'").join(b.where("b_kind = 'numbered'"), (F.col("a_number") == F.col("b_number")) & before)
-    boxes = a.where("a_kind = 'box' and a_box <> ''").join(b.where("b_kind = 'box' and b_box <> ''"), (F.col("a_box") == F.col("b_box")) & before)
-    # names of similar length and, sharing 71 % of the characters at least, a common letter pair or equal raw names
-    loose = ~((F.col("a_kind") == "numbered") & (F.col("b_kind") == "numbered")) & ~(
-        (F.col("a_kind") == "box") & (F.col("b_kind") == "box") & (F.col("a_box") != "") & (F.col("b_box") != "")
-    )
-    size = lambda c: F.length(c)
-    slot = lambda c: F.floor(F.log(F.greatest(size(c), F.lit(1)).cast("double")) / F.log(F.lit(1.5)))
-    near = a.withColumn("slot", F.explode(F.array(slot(F.col("a_norm")) - 1, slot(F.col("a_norm")), slot(F.col("a_norm")) + 1)))
-    other = near.join(b.withColumn("slot", slot(F.col("b_norm"))), "slot").where(before & loose & (S.length_allows(F.col("a_norm"), F.col("b_norm"), 83) | (F.col("a_raw") == F.col("b_raw")))).drop("slot")
-    return numbered.unionByName(boxes).unionByName(other)
+    names = forms.select(F.col(column).alias("name"), F.col(sorted_column or column).alias("sorted")).distinct()
+    slot = F.floor(F.log(F.greatest(F.length("name"), F.lit(1)).cast("double")) / F.log(F.lit(spread)))
+    a = names.select(F.col("name").alias("a_name"), F.col("sorted").alias("a_sorted"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    b = names.select(F.col("name").alias("b_name"), F.col("sorted").alias("b_sorted"), slot.alias("slot"))
+    near = a.join(b, "slot").where((F.col("a_name") < F.col("b_name")) & S.length_allows(F.col("a_name"), F.col("b_name"), least)).drop("slot")
+    score = S.ratio(F.col("a_name"), F.col("b_name"))
+    if sorted_column:
+        score = F.greatest(score, S.ratio(F.col("a_sorted"), F.col("b_sorted")))
+    found = near.withColumn("score", score).where(F.col("score") >= least).select("a_name", "b_name", "score")
+    back = found.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"), "score")
+    return found.unionByName(back).unionByName(names.select(F.col("name").alias("a_name"), F.col("name").alias("b_name"), F.lit(100.0).alias("score")))
 
 
 def is_duplicate() -> Column:
@@ -76,12 +74,27 @@ def is_duplicate() -> Column:
 
 
 def duplicate_links(prepared: DataFrame) -> DataFrame:
-    """(a, b): forms that C1 accepts, by their least record."""
+    """(a, b): forms that C1 accepts, by their least record.
+
+    Every case of C1 needs a name score of 83 (equal raw names have 100), so
+    names are linked first and forms meet through them; where both sides have a
+    number or a box number it is a join key as well.
+    """
     forms = _distinct_forms(prepared)
-    pairs = candidate_cases(forms).withColumn("_n", S.lcs_length("a_norm", "b_norm")).withColumn("_t", S.lcs_length("a_tokens", "b_tokens")).withColumn("_s", S.lcs_length("a_street", "b_street"))
-    scored = pairs.withColumn("name_score", F.greatest(S.ratio_of(F.col("_n"), F.col("a_norm"), F.col("b_norm")), S.ratio_of(F.col("_t"), F.col("a_tokens"), F.col("b_tokens")))).withColumn(
-        "street_score", S.ratio_of(F.col("_s"), F.col("a_street"), F.col("b_street"))
-    )
+    linked = similar_names(forms, "norm", "tokens", 83, 1.5)
+    work = Workspace(prepared.sparkSession, "dedup")
+    linked = work.save(linked, "names")
+    key = lambda s: F.when(F.col(f"{s}_kind") == "numbered", F.col(f"{s}_number")).when((F.col(f"{s}_kind") == "box") & (F.col(f"{s}_box") != ""), F.concat(F.lit("box "), F.col(f"{s}_box")))
+    a = _sides(forms, "a").withColumn("_ka", key("a")).join(linked.withColumnRenamed("a_name", "a_norm"), "a_norm")
+    b = _sides(forms, "b").withColumn("_kb", key("b")).withColumnRenamed("b_norm", "b_name")
+    same = a.where("_ka is not null").join(b.where("_kb is not null"), (F.col("_ka") == F.col("_kb")) & (a["b_name"] == b["b_name"])).drop(b["b_name"])
+    # a numbered address and a box are compared by names alone
+    mixed = a.where("_ka is not null").join(b.where("_kb is not null"), "b_name").where("(a_kind = 'box') <> (b_kind = 'box')")
+    open_a = a.where("_ka is null").join(b, "b_name")
+    open_b = a.where("_ka is not null").join(b.where("_kb is null"), "b_name")
+    columns = same.columns
+    pairs = same.unionByName(mixed.select(*columns)).unionByName(open_a.select(*columns)).unionByName(open_b.select(*columns)).where("a_idx < b_idx")
+    scored = pairs.withColumnRenamed("score", "name_score").withColumn("street_score", S.ratio(F.col("a_street"), F.col("b_street")))
     return scored.where(is_duplicate()).select(F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
 
 
@@ -148,16 +161,13 @@ def apply_splits(assigned: DataFrame, splits: DataFrame) -> DataFrame:
 def near_misses(members: DataFrame, name_least: int = 92, address_least: int = 80) -> DataFrame:
     """Pairs of different clusters with like names and, where both are given, like addresses.
 
-    Pairs meet by length class and are cut by the length bound before any score.
+    Like names are found first, over distinct names; members meet through them.
     """
-    cols = members.select("idx", "cluster", "tokens", "address", F.length("tokens").alias("n"), (F.col("kind") == "blank").alias("blank"))
-    step = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(1.2)))
-    a, b = _sides(cols, "a"), _sides(cols, "b")
-    a = a.withColumn("slot", F.explode(F.array(step(F.col("a_n")) - 1, step(F.col("a_n")), step(F.col("a_n")) + 1)))
-    near = a.join(b.withColumn("slot", step(F.col("b_n"))), "slot").where((F.col("a_idx") < F.col("b_idx")) & (F.col("a_cluster") != F.col("b_cluster")) & S.length_allows(F.col("a_tokens"), F.col("b_tokens"), name_least))
-    named = near.withColumn("name_score", S.ratio(F.col("a_tokens"), F.col("b_tokens"))).where(F.col("name_score") >= name_least)
-    sorted_a, sorted_b = S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address"))
-    scored = named.withColumn("address_score", S.ratio(sorted_a, sorted_b))
+    cols = members.select("idx", "cluster", "tokens", "address", (F.col("kind") == "blank").alias("blank"))
+    linked = similar_names(cols, "tokens", None, name_least, 1.2).withColumnsRenamed({"a_name": "a_tokens", "score": "name_score"})
+    b = _sides(cols, "b").withColumnRenamed("b_tokens", "b_name")
+    named = _sides(cols, "a").join(linked, "a_tokens").join(b, "b_name").where("a_idx < b_idx and a_cluster <> b_cluster")
+    scored = named.withColumn("address_score", S.ratio(S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address"))))
     return scored.where(F.col("a_blank") | F.col("b_blank") | (F.col("address_score") >= address_least)).select(
         F.col("a_idx").alias("a"), F.col("b_idx").alias("b"), "a_cluster", "b_cluster", "name_score", "address_score"
     )
