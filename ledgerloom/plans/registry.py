@@ -15,6 +15,7 @@ from ledgerloom.plans import fixtures as X
 from ledgerloom.plans import oracle as O
 from ledgerloom.plans import reconcile
 from ledgerloom.sources import mapping, tables
+from ledgerloom.sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,7 +202,7 @@ def matched_side_by_side(spark, d):
  and master_index not in (select master_index from final where final_decision = 'AUTO_MATCH')"""
 )
 def second_pass_pairs(spark, d):
-    pairs = _matched(spark, d).select("registry_index", "master_index", "final_decision")
+    pairs = Workspace(spark, "passes").save(_matched(spark, d).select("registry_index", "master_index", "final_decision"), "first")
     a, b = _sides(spark, d)
     rest = linkage.candidate_pairs(linkage.without_matched(a, pairs, "registry_index"), linkage.without_matched(b, pairs, "master_index"))
     return rest.select("registry_index", "master_index")

@@ -67,7 +67,7 @@ def concatenated(business: DataFrame, custom: DataFrame | None, contact: DataFra
 def write_sheet(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """K1, K3."""
     writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)
+    writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path) if kind == "csv" else writer.format(kind).save(path)
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
