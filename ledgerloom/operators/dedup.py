@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import normalize as N
 from ledgerloom.functions import similarity as S
 from ledgerloom.operators.graph import connected_components
-from ledgerloom.sources.workspace import Workspace
+from ledgerloom.sources.workspace import Workspace, shuffle_partitions
 
 
 def preprocess(records: DataFrame, key: str, name: str, address: str) -> DataFrame:
@@ -50,6 +50,7 @@ def similar_names(forms: DataFrame, column: str, sorted_column: str | None, leas
     b = names.select(F.col("name").alias("b_name"), F.col("sorted").alias("b_sorted"), slot.alias("slot"))
     near = a.join(b, "slot").where((F.col("a_name") < F.col("b_name")) & S.length_allows(F.col("a_name"), F.col("b_name"), least)).drop("slot")
     score = S.ratio(F.col("a_name"), F.col("b_name"))
+    near = near.repartition(shuffle_partitions(forms.sparkSession))
     if sorted_column:
         score = F.greatest(score, S.ratio(F.col("a_sorted"), F.col("b_sorted")))
     found = near.withColumn("score", score).where(F.col("score") >= least).select("a_name", "b_name", "score")
@@ -94,6 +95,8 @@ def duplicate_links(prepared: DataFrame) -> DataFrame:
     open_b = a.where("_ka is not null").join(b.where("_kb is null"), "b_name")
     columns = same.columns
     pairs = same.unionByName(mixed.select(*columns)).unionByName(open_a.select(*columns)).unionByName(open_b.select(*columns)).where("a_idx < b_idx")
+    # the joins make many pairs from few rows; they are dealt out again before Python sees them
+    pairs = pairs.repartition(shuffle_partitions(prepared.sparkSession))
     scored = pairs.withColumnRenamed("score", "name_score").withColumn("street_score", S.ratio(F.col("a_street"), F.col("b_street")))
     return scored.where(is_duplicate()).select(F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
 

@@ -10,6 +10,8 @@ from ledgerloom.functions import similarity as S
 
 AUTO_MATCH, AUTO_REJECT, NEEDS_REVIEW, HUMAN_ACCEPT = "AUTO_MATCH", "AUTO_REJECT", "NEEDS_REVIEW", "HUMAN_ACCEPT"
 CANDIDATE, NO_MATCH = "CANDIDATE", "DEFINITE_NO_MATCH"
+#: Parts of a block: there are few blocks, and some hold most records.
+SALTS = 8
 CONFIRMED = (AUTO_MATCH, HUMAN_ACCEPT)
 
 
@@ -37,7 +39,14 @@ def candidate_pairs(a: DataFrame, b: DataFrame, *, pushed: bool = True) -> DataF
     a1, a0 = a.where("a_num <> ''"), a.where("a_num = ''")
     b1, b0 = b.where("b_num <> ''"), b.where("b_num = ''")
     same = a1.join(b1.withColumn("a_num", F.col("b_num")), ["block", "a_num"])
-    return same.unionByName(a0.join(b, "block")).unionByName(a1.join(b0, "block"))
+    return same.unionByName(_salted(a0, b, a.columns[0])).unionByName(_salted(a1, b0, a.columns[0]))
+
+
+def _salted(a: DataFrame, b: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Join on the block; the left side of a block is dealt over salts and the right side goes to each."""
+    left = a.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    right = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
+    return left.join(right.hint("shuffle_hash"), ["block", "_salt"]).drop("_salt")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
