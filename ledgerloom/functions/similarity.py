@@ -64,13 +64,18 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(sorted_tokens(a), sorted_tokens(b))
 
 
-def _token_set(c: Column) -> Column:
+def token_set(c: Column) -> Column:
+    """Distinct tokens in order; worth keeping as a column, since a score reads it many times."""
     return F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != "")))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """F32."""
-    sa, sb = _token_set(a), _token_set(b)
+    return token_set_score(token_set(a), token_set(b))
+
+
+def token_set_score(sa: Column, sb: Column) -> Column:
+    """F32 on token sets."""
     both = F.array_join(F.array_sort(F.array_intersect(sa, sb)), " ")
     da, db = (F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((sa, sb), (sb, sa)))
     s, x, y = F.length(both), F.length(da), F.length(db)

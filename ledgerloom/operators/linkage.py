@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
 from ledgerloom.functions import similarity as S
+from ledgerloom.sources.workspace import shuffle_partitions
 
 AUTO_MATCH, AUTO_REJECT, NEEDS_REVIEW, HUMAN_ACCEPT = "AUTO_MATCH", "AUTO_REJECT", "NEEDS_REVIEW", "HUMAN_ACCEPT"
 CANDIDATE, NO_MATCH = "CANDIDATE", "DEFINITE_NO_MATCH"
@@ -23,7 +24,8 @@ def prepared(records: DataFrame, side: str, key: str, name: str, address: str) -
         F.col(key).alias(key), F.col(name).alias(f"{side}_name"), F.col(address).alias(f"{side}_address"), norm.alias(f"{side}_norm"),
         S.sorted_tokens(norm).alias(f"{side}_sorted"), S.sorted_tokens(F.regexp_replace(street, r"(?U)^\d+[\w\-]?\s*", "")).alias(f"{side}_street"),
         N.street_number_wide(F.col(address)).alias(f"{side}_num"), N.is_blank(F.col(address)).alias(f"{side}_blank"),
-        F.substring(norm, 1, 2).alias("block"),
+        F.substring(norm, 1, 2).alias("block"), N.simple_name(F.col(name)).alias(f"{side}_simple"), N.street_number(F.col(address)).alias(f"{side}_first"),
+        S.token_set(N.simple_name(F.col(name))).alias(f"{side}_set"), S.sorted_tokens(F.lower(N.text(F.col(address)))).alias(f"{side}_lower"),
     )
 
 
@@ -88,18 +90,19 @@ def number_match() -> Column:
 
 
 def rule_filter(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The candidates with scores."""
-    return scored(candidate_pairs(a, b)).withColumn("verdict", rule_verdict()).withColumn("number_match", number_match()).where(F.col("verdict") == CANDIDATE)
+    """The candidates with scores.
+
+    A join makes many pairs from few rows, so adaptive execution would merge its
+    small partitions; pairs are dealt out by both keys before Python scores them.
+    """
+    pairs = candidate_pairs(a, b).repartition(shuffle_partitions(a.sparkSession), a.columns[0], b.columns[0])
+    return scored(pairs).withColumn("verdict", rule_verdict()).withColumn("number_match", number_match()).where(F.col("verdict") == CANDIDATE)
 
 
 def prejudge(candidates: DataFrame) -> DataFrame:
     """``decision`` AUTO_MATCH, AUTO_REJECT or null (a judge is needed); ``simple_score`` is F32 on F3 names."""
-    a_num, b_num = N.street_number(F.col("a_address")), N.street_number(F.col("b_address"))
-    named = (
-        candidates.withColumn("_a", N.simple_name(F.col("a_name"))).withColumn("_b", N.simple_name(F.col("b_name")))
-        .withColumn("_al", S.sorted_tokens(F.lower(N.text(F.col("a_address"))))).withColumn("_bl", S.sorted_tokens(F.lower(N.text(F.col("b_address")))))
-        .withColumn("simple_score", S.token_set_ratio(F.col("_a"), F.col("_b"))).withColumn("_addr", S.ratio(F.col("_al"), F.col("_bl")))
-    )
+    a_num, b_num = F.col("a_first"), F.col("b_first")
+    named = candidates.withColumn("simple_score", S.token_set_score(F.col("a_set"), F.col("b_set"))).withColumn("_addr", S.ratio(F.col("a_lower"), F.col("b_lower")))
     n, blank_a, blank_b = F.col("simple_score"), F.col("a_blank"), F.col("b_blank")
     equal = (a_num != "") & (a_num == b_num)
     decision = (
@@ -107,9 +110,9 @@ def prejudge(candidates: DataFrame) -> DataFrame:
         .when(n < 50, AUTO_REJECT)
         .when(blank_a & blank_b & (n >= 90), AUTO_MATCH)
         .when(equal & (n >= 88) & (F.col("_addr") >= 75), AUTO_MATCH)
-        .when((F.col("_a") != "") & (F.col("_a") == F.col("_b")) & (blank_a | blank_b), AUTO_MATCH)
+        .when((F.col("a_simple") != "") & (F.col("a_simple") == F.col("b_simple")) & (blank_a | blank_b), AUTO_MATCH)
     )
-    return named.withColumn("decision", decision).drop("_a", "_b", "_al", "_bl", "_addr")
+    return named.withColumn("decision", decision).drop("_addr", *(f"{side}_{c}" for side in "ab" for c in ("simple", "first", "set", "lower")))
 
 
 def final_decision(decision: Column, judged: Column) -> Column:

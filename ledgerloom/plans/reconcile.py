@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import dedup, judge, linkage
+from ledgerloom.sources.workspace import Workspace
 
 #: Step names in order; soft gates stop only while something is open, hard ones always.
 STEPS = ("dedup", "collapse", "match", "split", "second_match", "schema", "outputs", "contacts")
@@ -37,15 +38,21 @@ def pair_ids(pairs: DataFrame, a_key: str, b_key: str) -> DataFrame:
 
 
 def match(registry: DataFrame, master: DataFrame, pair_judge: judge.Judge | None = None) -> DataFrame:
-    """Pairs with ``final_decision``; records as in ``plans.fixtures``."""
+    """Pairs with ``final_decision``; records as in ``plans.fixtures``.
+
+    Scored pairs and a judge's answers are written once: pairs are read twice,
+    and no question is asked again when an executor is lost later.
+    """
     a = linkage.prepared(registry, "a", "registry_index", "business_name", "address1")
     b = linkage.prepared(master, "b", "master_index", "name", "address1")
     pairs = pair_ids(linkage.prejudge(linkage.rule_filter(a, b)), "registry_index", "master_index")
     if pair_judge is None:
         judged = F.lit(judge.UNCERTAIN)
     else:
+        work = Workspace(registry.sparkSession, "match")
+        pairs = work.save(pairs, "pairs")
         asked = pairs.where("decision is null").selectExpr("pair_id", "a_name as name_a", "a_address as address_a", "b_name as name_b", "b_address as address_b")
-        pairs = judge.with_judgement(pairs, judge.judge_pairs(asked, pair_judge, ("MATCH", "NOT_MATCH", judge.UNCERTAIN)))
+        pairs = judge.with_judgement(pairs, work.save(judge.judge_pairs(asked, pair_judge, ("MATCH", "NOT_MATCH", judge.UNCERTAIN)), "answers"))
         judged = F.col("judged")
     return pairs.withColumn("final_decision", linkage.final_decision(F.col("decision"), judged))
 
