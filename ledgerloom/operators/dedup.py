@@ -31,6 +31,11 @@ def _sides(df: DataFrame, s: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Joins make many pairs from few rows, so pairs are dealt out by both keys before Python scores them."""
+    return pairs.repartition(shuffle_partitions(pairs.sparkSession), "a_idx", "b_idx")
+
+
 def _distinct_forms(df: DataFrame) -> DataFrame:
     """Records with equal forms stand for one another: (forms, least index, members)."""
     forms = [c for c in df.columns if c != "idx"]
@@ -95,9 +100,7 @@ def duplicate_links(prepared: DataFrame) -> DataFrame:
     open_b = a.where("_ka is not null").join(b.where("_kb is null"), "b_name")
     columns = same.columns
     pairs = same.unionByName(mixed.select(*columns)).unionByName(open_a.select(*columns)).unionByName(open_b.select(*columns)).where("a_idx < b_idx")
-    # the joins make many pairs from few rows; they are dealt out again before Python sees them
-    pairs = pairs.repartition(shuffle_partitions(prepared.sparkSession))
-    scored = pairs.withColumnRenamed("score", "name_score").withColumn("street_score", S.ratio(F.col("a_street"), F.col("b_street")))
+    scored = _dealt(pairs).withColumnRenamed("score", "name_score").withColumn("street_score", S.ratio(F.col("a_street"), F.col("b_street")))
     return scored.where(is_duplicate()).select(F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
 
 
@@ -141,6 +144,7 @@ def cluster_pairs(members: DataFrame) -> DataFrame:
 
 def verify_inside(pairs: DataFrame) -> DataFrame:
     """KEEP, SPLIT (the later row leaves), JUDGE or NONE."""
+    pairs = _dealt(pairs)
     address = S.ratio(S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address")))
     scored = pairs.withColumn("name_score", S.ratio(F.col("a_tokens"), F.col("b_tokens"))).withColumn("address_score", address)
     same = (F.col("a_address") != "") & (F.col("a_address") == F.col("b_address"))
@@ -170,7 +174,7 @@ def near_misses(members: DataFrame, name_least: int = 92, address_least: int = 8
     linked = similar_names(cols, "tokens", None, name_least, 1.2).withColumnsRenamed({"a_name": "a_tokens", "score": "name_score"})
     b = _sides(cols, "b").withColumnRenamed("b_tokens", "b_name")
     named = _sides(cols, "a").join(linked, "a_tokens").join(b, "b_name").where("a_idx < b_idx and a_cluster <> b_cluster")
-    scored = named.withColumn("address_score", S.ratio(S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address"))))
+    scored = _dealt(named).withColumn("address_score", S.ratio(S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address"))))
     return scored.where(F.col("a_blank") | F.col("b_blank") | (F.col("address_score") >= address_least)).select(
         F.col("a_idx").alias("a"), F.col("b_idx").alias("b"), "a_cluster", "b_cluster", "name_score", "address_score"
     )
