@@ -7,8 +7,9 @@ a document's score is the sum of the log-probabilities of its tokens.
 
 Training sees all documents: each run of documents reports its distinct windows
 with counts, the counts are summed by window, and replicas of the network (a
-bucket of windows each, numpy and Adam) start from the same weights every round
-and are averaged by the weight of their windows.  Weights are summed by number
+bucket of windows each, numpy and Adam) start from the same weights every round,
+take whole passes over their windows weighted by count, so steps grow with the
+distinct windows, and are averaged by the weight of their windows.  Weights are summed by number
 before they reach the driver, which only ever holds one network.  Scoring
 evaluates each run's distinct windows once.
 
@@ -31,7 +32,7 @@ CLASSES = 64
 SIDE = 2
 HIDDEN = 32
 ROUNDS = 3
-#: Mini-batches of all replicas together in a round.
+#: Least mini-batches of all replicas together in a round: small tables take several passes.
 STEPS = 600
 REPLICAS = 12
 BATCH = 2048
@@ -119,25 +120,41 @@ class Network:
         return out
 
     def train(self, codes: np.ndarray, counts: np.ndarray, steps: int, rate: float, seed: int) -> None:
-        """Adam on windows drawn by their counts."""
+        """Adam on whole passes over the windows, one pass and ``steps`` mini-batches at least."""
         rng = np.random.default_rng(seed)
-        total = np.cumsum(counts.astype(np.float64))
-        mean, var = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        for t in range(1, steps + 1):
-            context, token = split(codes[np.searchsorted(total, rng.random(BATCH) * total[-1], side="right").clip(max=len(codes) - 1)])
-            h, p = self._forward(context)
-            p[np.arange(BATCH), token] -= 1
-            p /= BATCH
-            dh = (p @ self.parts[2].T) * (1 - h * h)
-            grad_e = np.zeros(self.shapes[0], np.float32)
-            for i in range(context.shape[1]):
-                hot = np.zeros((CLASSES, BATCH), np.float32)
-                hot[context[:, i], np.arange(BATCH)] = 1
-                grad_e[i] = hot @ dh
-            grad = np.concatenate([g.ravel() for g in (grad_e, dh.sum(0), h.T @ p, p.sum(0))])
-            mean += 0.1 * (grad - mean)
-            var += 0.01 * (grad * grad - var)
-            self.flat -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
+        entry, weight = entries(counts)
+        batches = -(-len(entry) // BATCH)
+        mean, var, t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        for _ in range(max(1, -(-steps // batches))):
+            for some in np.array_split(rng.permutation(len(entry)), batches):
+                t += 1
+                context, token = split(codes[entry[some]])
+                n = len(some)
+                h, p = self._forward(context)
+                p[np.arange(n), token] -= 1
+                p *= (weight[some] / n)[:, None]
+                dh = (p @ self.parts[2].T) * (1 - h * h)
+                grad_e = np.zeros(self.shapes[0], np.float32)
+                for i in range(context.shape[1]):
+                    hot = np.zeros((CLASSES, n), np.float32)
+                    hot[context[:, i], np.arange(n)] = 1
+                    grad_e[i] = hot @ dh
+                grad = np.concatenate([g.ravel() for g in (grad_e, dh.sum(0), h.T @ p, p.sum(0))])
+                mean += 0.1 * (grad - mean)
+                var += 0.01 * (grad * grad - var)
+                self.flat -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
+
+
+def entries(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, weight) of one pass: every window, by its count, mean weight 1.
+
+    A window above the mean count is dealt out as several equal entries, so no
+    entry outweighs a batch; there are at most twice as many entries as windows.
+    """
+    shares = np.ceil(counts / counts.mean()).astype(np.int64)
+    entry = np.repeat(np.arange(len(counts)), shares)
+    weight = (counts / shares)[entry]
+    return entry, (weight / weight.mean()).astype(np.float32)
 
 
 def window_counts(rows: DataFrame, replicas: int) -> DataFrame:

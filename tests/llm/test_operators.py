@@ -256,6 +256,20 @@ def test_lm_score(spark, rows):
     assert out[1].pll == pytest.approx(lm_score.Network(flat).log_probability(codes).sum(), rel=1e-4)
 
 
+def test_lm_training_takes_every_window(monkeypatch):
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 1 << 30, 9000).astype(np.uint32))
+    counts = np.ones(len(codes), np.int64)
+    counts[:3] = 1_000_000, 50_000, 7
+    seen = []
+    monkeypatch.setattr(lm_score, "split", lambda c, whole=lm_score.split: (seen.append(c), whole(c))[1])
+    lm_score.Network().train(codes, counts, 1, 0.02, 5)
+    assert np.array_equal(np.unique(np.concatenate(seen)), codes)
+    entry, weight = lm_score.entries(counts)
+    share = np.bincount(entry, weights=weight)
+    assert np.allclose(share / share.sum(), counts / counts.sum(), rtol=1e-4)
+
+
 def test_gap_coding():
     gaps = np.array([0, 1, 254, 255, 256, 509, 510, 511, 100000, 3])
     data, size = postings.encode_gaps(gaps)
