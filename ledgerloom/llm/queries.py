@@ -19,14 +19,20 @@ SEARCH_EVERY = 20
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints and likenesses; rows with an id divisible by 20 also count the documents within the radius."""
+    """Fingerprints and likenesses; rows with an id divisible by 20 also name what lies within the radius.
+
+    ``near`` holds the classes of equal fingerprints met, the row's own among
+    them, each by its least ``doc_id``, its distance and its rows; the other
+    rows of a class are those with its fingerprint.
+    """
     docs = table(spark, sf_dir, "documents")
     work = Workspace(spark, "simhash")
     prints = work.save(simhash.fingerprint_edits(docs), "prints")
     asked = prints.where(F.col("doc_id") % SEARCH_EVERY == 0)
     found = simhash.search(asked, prints, prints.count())
     # the row itself is one of its class
-    within = found.groupBy("doc_id").agg((F.sum("copies") - 1).alias("n_in_radius"))
+    one = F.struct("distance", F.col("first_id").alias("doc_id"), F.col("match").alias("fingerprint"), "copies")
+    within = found.distinct().groupBy("doc_id").agg((F.sum("copies") - 1).alias("n_in_radius"), F.sort_array(F.collect_list(one)).alias("near"))
     return prints.join(within, "doc_id", "left")
 
 

@@ -127,6 +127,35 @@ def test_simhash_search_finds_all(spark):
     assert got == want
 
 
+def test_simhash_finds_near_documents(spark, tmp_path):
+    from ledgerloom.llm import queries
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(60)]
+    rows = [(20 * i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):  # ten terms of 96 leave, ten come: likeness 86 / 106
+        rows.append((20 * i + 1, " ".join([*w[:50], "x", *w[51:56], "y", *w[57:]])))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op1_simhash(spark, str(tmp_path)).collect()}
+    found = [20 * i + 1 in {n.doc_id for n in out[20 * i].near} for i in range(60)]
+    assert sum(found) >= 57
+    for i in range(60):
+        near = out[20 * i].near
+        assert out[20 * i].n_in_radius == sum(n.copies for n in near) - 1
+        assert {n.doc_id for n in near} <= {20 * i, 20 * i + 1}
+
+
+@pytest.mark.parametrize("radius", [3, 28])
+def test_simhash_search_is_exact_at_any_radius(spark, radius):
+    rng = random.Random(2)
+    prints = [rng.getrandbits(128) for _ in range(60)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 32))) for p in prints for _ in range(3)]
+    df = spark.createDataFrame([(i, f"{p:032x}") for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    got = {(r.doc_id, r.match, r.distance) for r in simhash.search(df, df, len(prints), radius).collect()}
+    want = {(i, f"{q:032x}", (p ^ q).bit_count()) for i, p in enumerate(prints) for q in prints if (p ^ q).bit_count() <= radius}
+    assert got == want
+
+
 URLS = [
     (1, "http://a.example.com/en/7x?q=1"), (2, "https://EXAMPLE.com/en/8#t"), (3, None), (4, "no scheme"), (5, "http://x.example.net/de/81"),
     (6, "http://x.net/de/1"), (7, "http://notexample.net/fr"), (8, "http://casino-win.example.org/de/1"), (9, "http://org/es/"), (10, "://"),
