@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping segments (``SEGMENT`` bytes, half a
-segment apart; a shorter item is one).  A segment of m bytes with at most e
+Benchmark items are cut into overlapping segments (``SEGMENT`` bytes, ``STRIDE``
+apart; a shorter item is one), so that an excerpt of ``SEGMENT + STRIDE - 1``
+bytes holds a whole segment wherever it begins.  A segment of m bytes with at most e
 edits shares m - q + 1 - q * e of its q-grams with the text, all near one
 diagonal.  Text places whose q-gram occurs in no segment are dropped first,
 then places without enough such neighbours, and the rest are counted by
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import LOWER, Rolling, Texts, map_texts, ranges
 
-SEGMENT = 96
+SEGMENT = 64
+STRIDE = 8
 Q = 10
 EDITS = 0.06
-BLOCK_BYTES = 8 << 20
+#: An index holds about SEGMENT / STRIDE q-grams for each byte of its items.
+BLOCK_BYTES = 2 << 20
 
 _FOLD = LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 0x20
@@ -52,7 +55,7 @@ class Segments:
             b = _FOLD[np.frombuffer((text or "").encode(), np.uint8)]
             if len(b) < q:
                 continue
-            starts = list(range(0, max(1, len(b) - segment + 1), segment // 2))
+            starts = list(range(0, max(1, len(b) - segment + 1), STRIDE))
             if len(b) > segment and starts[-1] + segment < len(b):
                 starts.append(len(b) - segment)
             for s in starts:

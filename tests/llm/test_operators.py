@@ -185,6 +185,15 @@ def test_decontamination(spark, rows):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(100, 1), (101, 1), (103, 1)}
 
 
+@pytest.mark.parametrize("size", [71, 80, 100, 130])
+def test_every_excerpt_of_an_item_is_found(spark, size):
+    rng = random.Random(6)
+    item = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(40))
+    docs = [(i, "Zz! " + item[i : i + size] + " Yy?") for i in range(len(item) - size + 1)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontam.contaminated(frame(spark, docs), bench).count() == len(docs)
+
+
 def test_banded_edits_against_plain():
     rng = random.Random(2)
 
