@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
 from ledgerloom.functions import similarity as S
+from ledgerloom.operators import judge
 from ledgerloom.operators.graph import connected_components
 from ledgerloom.sources.workspace import Workspace, shuffle_partitions
 
@@ -180,6 +181,24 @@ def near_misses(members: DataFrame, name_least: int = 92, address_least: int = 8
     )
 
 
+def near_verdicts(misses: DataFrame, records: DataFrame, key: str, name: str, address: str) -> DataFrame:
+    """C4: MERGE where both F6 addresses are given and equal, else JUDGE; with the fields a judge reads."""
+    blank = F.trim(N.text(F.col(address))).isin("", "-", "nan")
+    near = F.when(blank, "").otherwise(N.near_address(F.col(address)))
+    side = lambda s: records.select(F.col(key).alias(s), F.col(name).alias(f"name_{s}"), F.col(address).alias(f"address_{s}"), near.alias(f"near_{s}"))
+    met = misses.join(side("a"), "a").join(side("b"), "b")
+    return met.withColumn("verdict", F.when((F.col("near_a") != "") & (F.col("near_a") == F.col("near_b")), "MERGE").otherwise("JUDGE")).drop("near_a", "near_b")
+
+
+def accepted_misses(verdicts: DataFrame, by: judge.Judge) -> DataFrame:
+    """Near misses that merge by themselves or that the judge calls duplicates; the rest stay open."""
+    work = Workspace(verdicts.sparkSession, "near")
+    kept = work.save(verdicts, "verdicts")
+    asked = row_numbers(kept.where("verdict = 'JUDGE'"), ["a", "b"], "pair_id")
+    answers = judge.judge_pairs(asked, by, ("DUPLICATE",)).where("judged = 'DUPLICATE'")
+    return kept.where("verdict = 'MERGE'").unionByName(asked.join(answers.select("pair_id"), "pair_id", "left_semi").select(*kept.columns))
+
+
 def merge_clusters(assigned: DataFrame, links: DataFrame) -> DataFrame:
     """Clusters linked by (a_cluster, b_cluster) take their least number, whole components at once."""
     labels = connected_components(links, "a_cluster", "b_cluster").withColumnRenamed("node", "cluster")

@@ -323,10 +323,23 @@ def near_miss(spark, d):
     return dedup.near_misses(_prepared(spark, d).join(_assigned(spark, d), "idx")).select("a", "b", r6("name_score"))
 
 
-@query()
+@query(
+    f"""{_CLUSTERS}, m as (select p.*, cluster, {O.sorted_tokens('address')} as sa from p join assigned using (idx)),
+q as (select a.idx as a, b.idx as b, a.cluster as ca, b.cluster as cb, a.tokens as ta, b.tokens as tb, a.sa as sa, b.sa as sb, a.kind = 'blank' or b.kind = 'blank' as blank from m a join m b on a.idx < b.idx and a.cluster <> b.cluster
+  where 200 * least(length(a.tokens), length(b.tokens)) >= 92 * (length(a.tokens) + length(b.tokens))),
+nn as (select ta, tb, {O.ratio('ta', 'tb')} as ns from (select distinct ta, tb from q)), q2 as (select * from q join nn using (ta, tb) where ns >= 92),
+ad as (select sa, sb, {O.ratio('sa', 'sb')} as ads from (select distinct sa, sb from q2)),
+nr as (select registry_index as idx, case when trim(address1) in ('', '-', 'nan') then '' else {O.near_address('address1')} end as near from registry),
+l as (select distinct ca, cb from q2 join ad using (sa, sb) join nr x on x.idx = a join nr y on y.idx = b where (blank or ads >= 80) and x.near <> '' and x.near = y.near),
+l2 as (select ca, cb from l union select cb, ca from l),
+met as (select distinct cluster, cluster as other from assigned union select met.cluster, cb from met join l2 on met.other = ca)
+select idx, c as cluster from assigned join (select cluster, min(other) as c from met group by cluster) using (cluster)"""
+)
 def near_miss_merge(spark, d):
+    """C4 without a service: like addresses merge, all other near misses stay open."""
     members = _prepared(spark, d).join(_assigned(spark, d), "idx")
-    return dedup.merge_clusters(_assigned(spark, d), dedup.near_misses(members)).select("idx", "cluster")
+    verdicts = dedup.near_verdicts(dedup.near_misses(members), X.registry(spark, d), "registry_index", "business_name", "address1")
+    return dedup.merge_clusters(_assigned(spark, d), dedup.accepted_misses(verdicts, judge.UncertainJudge())).select("idx", "cluster")
 
 
 @query()

@@ -146,3 +146,18 @@ def test_decision_stream(spark, tmp_path):
     stream = decisions.decision_stream(spark, f"{tmp_path}/in", "event_id long, pair_id long, decision string")
     decisions.start_log(stream, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/log").count() == 1
+
+
+def test_near_misses_merge_only_by_equal_address_or_judge(spark):
+    from ledgerloom.operators import dedup, judge
+
+    rows = [(1, "Blue Cafe", "12 Main St Ste 4"), (2, "Blue Cafes", "12 Main St #9"), (3, "Blue Cafe", ""), (4, "Blue Cafe", "-"), (5, "Blue Cafe", "14 Main St"), (6, "Blue Cafe", None)]
+    records = spark.createDataFrame(rows, "id long, name string, address string")
+    pairs = [(a, b, a * 10, b * 10) for a, b in ((1, 2), (1, 3), (3, 4), (1, 5), (4, 6))]
+    misses = spark.createDataFrame(pairs, "a long, b long, a_cluster long, b_cluster long")
+    verdicts = dedup.near_verdicts(misses, records, "id", "name", "address")
+    assert {(r.a, r.b): r.verdict for r in verdicts.collect()} == {(1, 2): "MERGE", (1, 3): "JUDGE", (3, 4): "JUDGE", (1, 5): "JUDGE", (4, 6): "JUDGE"}
+    assigned = spark.createDataFrame([(i, i * 10) for i in range(1, 7)], "idx long, cluster long")
+    merged = lambda by: {r.idx: r.cluster for r in dedup.merge_clusters(assigned, dedup.accepted_misses(verdicts, by)).collect()}
+    assert merged(judge.UncertainJudge()) == {1: 10, 2: 10, 3: 30, 4: 40, 5: 50, 6: 60}
+    assert merged(judge.RecordedJudge({1: "DUPLICATE"})) == {1: 10, 2: 10, 3: 30, 4: 40, 5: 10, 6: 60}
