@@ -566,6 +566,32 @@ def fuzzy_block_join(spark, d):
     return legacy.fuzzy_join(a, b, "a_norm", "b_norm", F.substring("a_norm", 1, 2), F.substring("b_norm", 1, 2), 85).select("a_norm", "b_norm", r6("score"))
 
 
+# The reference has no block here: the same over all pairs of names.
+_ALL_PAIRS = f"""with {O.SIDES}, x as (select distinct a_norm, a_sorted from a where a_norm <> ''), y as (select distinct b_norm, b_sorted from b where b_norm <> ''),
+s as (select a_norm, b_norm, {O.ratio('a_norm', 'b_norm')} as r, {O.ratio('a_sorted', 'b_sorted')} as t from x, y)"""
+
+
+def _all_names(spark, d):
+    a = X.registry(spark, d).select(N.match_name(F.col("business_name")).alias("a_norm")).where("a_norm <> ''")
+    b = X.master(spark, d).select(N.match_name(F.col("name")).alias("b_norm")).where("b_norm <> ''")
+    return a, b, "a_norm", "b_norm"
+
+
+@query(f"{_ALL_PAIRS} select a_norm, b_norm, case when r >= 50 then 1 else 2 end as passed from s where r >= 50 or t >= 50")
+def two_pass_match_all(spark, d):
+    return legacy.two_pass_all(*_all_names(spark, d), 50)
+
+
+@query(f"{_ALL_PAIRS} select a_norm, b_norm, round(r, 6) as score from s where r > 85")
+def fuzzy_join_ratio(spark, d):
+    return legacy.fuzzy_join_all(*_all_names(spark, d), "ratio", 85).select("a_norm", "b_norm", r6("score"))
+
+
+@query(f"{_ALL_PAIRS} select a_norm, b_norm, round(t, 6) as score from s where t > 85")
+def fuzzy_join_token_sort(spark, d):
+    return legacy.fuzzy_join_all(*_all_names(spark, d), "token_sort", 85).select("a_norm", "b_norm", r6("score"))
+
+
 @query(f"{_LEGACY}, k as (select *, row_number() over (partition by b_norm order by r desc, a_norm) as k from s) select b_norm, a_norm, round(r, 6) as score from k where k = 1")
 def best_per_master(spark, d):
     scored = _legacy_pairs(spark, d).withColumn("score", S.ratio(F.col("a_norm"), F.col("b_norm")))

@@ -161,3 +161,16 @@ def test_near_misses_merge_only_by_equal_address_or_judge(spark):
     merged = lambda by: {r.idx: r.cluster for r in dedup.merge_clusters(assigned, dedup.accepted_misses(verdicts, by)).collect()}
     assert merged(judge.UncertainJudge()) == {1: 10, 2: 10, 3: 30, 4: 40, 5: 50, 6: 60}
     assert merged(judge.RecordedJudge({1: "DUPLICATE"})) == {1: 10, 2: 10, 3: 30, 4: 40, 5: 10, 6: 60}
+
+
+def test_fuzzy_join_needs_no_common_start(spark):
+    from ledgerloom.operators import legacy
+
+    names = ["the blue cafe shop", "blue cafe shop", "xlue cafe shop", "shop cafe blue", "red barn", "a", "barn red mill store", "store barn mill red"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    a, b = df.withColumnRenamed("name", "x"), df.withColumnRenamed("name", "y")
+    for method, score in (("ratio", S._ratio), ("token_sort", lambda p, q: S._ratio(" ".join(sorted(p.split())), " ".join(sorted(q.split()))))):
+        got = {(r.x, r.y) for r in legacy.fuzzy_join_all(a, b, "x", "y", method, 85).collect()}
+        assert got == {(p, q) for p in names for q in names if score(p, q) > 85}
+    assert ("the blue cafe shop", "blue cafe shop") in {(r.x, r.y) for r in legacy.fuzzy_join_all(a, b, "x", "y", "ratio", 85).collect()}
+    assert ("blue cafe shop", "shop cafe blue") in got
