@@ -45,7 +45,7 @@ URL_RULES = [
 ]
 #: Whole words of a URL that mark gambling, adult, pharmacy, advertising and spam pages, and session or login pages.
 URL_WORDS = ("ads", "adult", "bets", "cart", "casino", "jsessionid", "login", "pills", "poker", "porn", "spam", "viagra", "xxx")
-URL_PATTERNS = [url_filter.PatternRule(w, f"[/._?&;-]{w}[/._?&#=-]", "block", (w,)) for w in URL_WORDS]
+URL_PATTERNS = [url_filter.PatternRule(w, f"(?:^|[^0-9a-z]){w}(?:[^0-9a-z]|$)", "block", (w,)) for w in URL_WORDS]
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

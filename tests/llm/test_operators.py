@@ -176,6 +176,25 @@ def test_url_filter(spark):
     assert plain(joined.select("page_id", "verdict")) == plain(url_filter.filter_urls(df, URL_RULES, URL_PATTERNS).select("page_id", "verdict"))
 
 
+def test_url_words_at_any_border(spark, tmp_path):
+    import duckdb
+
+    from ledgerloom.llm import queries
+
+    blocked = ["https://x.com/casino", "https://site.xxx", "https://x.com/?login", "http://x.fr:poker", "x+spam+y", "casino", "http://x.fr/a;ads%20", "http://x.fr/CART"]
+    allowed = ["http://x.fr/casinos", "http://x.fr/mycasino", "http://x.fr/casino2", "http://x.fr/roads"]
+    urls = [(i, u) for i, u in enumerate([*blocked, *allowed])]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op2_url_filter(spark, str(tmp_path))
+    assert {r.page_id: r.verdict for r in out.collect()} == {i: "block" if i < len(blocked) else "allow" for i, _ in urls}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    ref = con.execute(queries.OP2_SQL)
+    names = [c[0] for c in ref.description]
+    assert plain(out.select(*names)) == sorted(ref.fetchall())
+
+
 def test_decontamination(spark, rows):
     item = "The quick brown fox jumps over the lazy dog while seven wizards box with quite many jolly quacking frogs near the old river bank today."
     edited = item.replace("lazy", "lazzy").replace("wizards", "wizard")
