@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import LOWER, Texts, chunks, map_texts, texts_of
 
 DIM_BITS = 12
-PER_LANGUAGE = 500
+PER_LANGUAGE = 600
 UND = "und"
 
 #: Families of ISO 639-1 codes; others are families of their own.
