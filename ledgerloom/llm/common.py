@@ -16,10 +16,23 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.sources.workspace import Workspace, shuffle_partitions  # noqa: F401
 
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` bears, whatever its extra columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
 U64 = np.uint64
 
-#: Bytes of text handled at once inside a task; bounds the temporaries.
+#: Bytes and rows of text handled at once inside a task; bound the temporaries.
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1 << 10
 
 
 # --------------------------------------------------------------------------
@@ -54,13 +67,13 @@ def texts_of(array: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """A batch in runs of whole documents of about ``most`` bytes."""
+def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """A batch in runs of whole documents of about ``most`` bytes and at most ``rows`` rows."""
     whole = texts_of(batch.column(text))
     first, n = 0, len(whole)
     while first < n:
         last = int(np.searchsorted(whole.offsets, whole.offsets[first] + most, side="right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         lo, hi = whole.offsets[first], whole.offsets[last]
         yield batch.slice(first, last - first), Texts(whole.data[lo:hi], whole.offsets[first : last + 1] - lo)
         first = last

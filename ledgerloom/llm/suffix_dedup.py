@@ -24,7 +24,8 @@ those around a passage border, 190 bytes each.
 
 Null text: no bytes.  Null id: before every other.  Rows with equal id and
 equal text are one document and all get its result; with equal id and
-different texts, the order is by text digest.  Other columns are ignored; an
+different texts, the order is by text digest.  A very long text is held whole by
+its task, with some 60 bytes for each of its own.  Other columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, Workspace, map_texts
+from ledgerloom.llm.common import Rolling, Workspace, map_texts, unused
 from ledgerloom.llm.postings import NOTHING, SCHEMA, Places, _ids, buckets_of, by_kind, dealt, key_back, keyed, meet, post
 
 WIDTH = 100
@@ -371,11 +372,12 @@ def scan_contexts(postings: DataFrame, width: int, buckets: int) -> DataFrame:
     return dealt(postings, buckets).mapInArrow(run, SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, spans, kept) for every row.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
+    """(key, digest, n_bytes, n_removed, spans, kept) for every row.
 
     ``spans`` are the maximal removed runs as [start, end) byte numbers and
     ``kept`` the other bytes (cut at byte level, so not always valid UTF-8).
+    With ``whole_characters``, a character that loses some of its bytes loses all.
     """
     spark = docs.sparkSession
     rows, buckets = keyed(docs, key, text), buckets_of(spark)
@@ -390,13 +392,22 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id",
         for kind, sign in ((1, 1), (2, -1)):
             row, pos = found.get(kind, NOTHING)
             np.add.at(edge, texts.offsets[row] + pos, sign)
-        yield _rendered(part, texts, np.cumsum(edge[:-1]) > 0)
+        gone = np.cumsum(edge[:-1]) > 0
+        yield _rendered(part, texts, _widened(texts.data, gone) if whole_characters else gone)
 
     places = classes.where("kind < 3").unionByName(scanned)
     final = meet(rows, places, buckets, fn, "id long, digest long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return final.select(key_back(F.col("id")).alias(key), "digest", "n_bytes", "n_removed", "spans", "kept")
 
 
+def _widened(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Removed bytes, and all other bytes of their characters."""
+    if not gone.any():
+        return gone
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # bytes that begin a character
+    return np.repeat(np.maximum.reduceat(gone, first), np.diff(np.append(first, len(data))))
+
+
 def _rendered(part, texts, gone) -> pa.RecordBatch:
     n = len(texts)
     out = texts.data[~gone]
@@ -426,13 +437,11 @@ def _rendered(part, texts, gone) -> pa.RecordBatch:
 def clean(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed bytes cut from their texts; characters cut in half go too.
 
-    Null texts stay null.
+    Null texts stay null.  Columns of ``docs`` may bear any names.
     """
-    out = remove_repeats(docs, width, key=key, text=text)
-    cut = out.where("n_removed > 0").select(F.col(key).alias("_id"), F.col("digest").alias("_digest"), F.expr("try_validate_utf8(cast(kept as string))").alias("_valid"), F.col("kept").alias("_kept"))
-    cut = cut.dropDuplicates(["_id", "_digest"])
-    # bytes that are no whole character any more are dropped where the rest is decoded
-    kept = F.coalesce("_valid", F.replace(F.expr("make_valid_utf8(cast(_kept as string))"), F.lit("\ufffd"), F.lit("")))
-    same = docs[key].eqNullSafe(cut["_id"]) & (F.crc32(F.coalesce(docs[text], F.lit(""))) == cut["_digest"])
+    own, digest, rest = unused(docs, "_id", "_digest", "_kept")
+    out = remove_repeats(docs, width, key=key, text=text, whole_characters=True)
+    cut = out.where("n_removed > 0").select(F.col(key).alias(own), F.col("digest").alias(digest), F.col("kept").cast("string").alias(rest)).dropDuplicates([own, digest])
+    same = docs[key].eqNullSafe(cut[own]) & (F.crc32(F.coalesce(docs[text], F.lit(""))) == cut[digest])
     joined = docs.join(cut, same, "left")
-    return joined.select(*(F.when(F.col("_digest").isNotNull(), kept).otherwise(docs[text]).alias(text) if c == text else docs[c] for c in docs.columns))
+    return joined.select(*(F.when(cut[digest].isNotNull(), cut[rest]).otherwise(docs[text]).alias(text) if c == text else docs[c] for c in docs.columns))
