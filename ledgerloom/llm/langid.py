@@ -4,14 +4,17 @@ Texts become hashed counts of byte runs of 1 to 3 (A-Z lower-cased), square
 roots, scaled to length one.  One linear support vector machine a family, one
 against the rest, picks the family; inside it, machines for every pair of
 languages vote.  All are trained in numpy on a bounded sample of labelled rows
-(``per_language`` expected a language, chosen by a hash of the id); prediction
-reads whole texts and nothing else.  Machines' margins are turned to
+(at most ``per_language`` distinct rows a language and ``MOST_ROWS`` in all, chosen
+by a hash of id and text); their features, not their texts, reach the driver.
+Prediction reads whole texts and nothing else.  Machines' margins are turned to
 probabilities on the training sample, and the score is the family's times the
 winner's least pairwise probability.
 
 Null text and text without a letter: ``und`` with score 0; so is everything if
-no labelled row exists.  Null ids count as the empty id.  Each repeated row is
-predicted; an empty table gives an empty result.
+no labelled row exists.  Null ids are in no held-out part.  Each repeated row is
+predicted and trains once; equal votes go to the surer machine, then to the lesser
+code.  A very long text is counted slice by slice.  Other columns are ignored
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, Texts, chunks, map_texts, texts_of
+from ledgerloom.llm.common import LOWER, Texts, batch, binary_array, chunks, map_texts, texts_of
 
 DIM_BITS = 12
-PER_LANGUAGE = 600
+#: Bounds of the training sample: 16 KB a row on the driver.
+PER_LANGUAGE, MOST_ROWS = 600, 4800
+#: Rows and bytes whose features are made at once.
+ROWS, SLICE = 256, 1 << 21
 UND = "und"
 
 #: Families of ISO 639-1 codes; others are families of their own.
@@ -49,6 +55,25 @@ def family_of(lang: str) -> str:
 
 def features(texts: Texts) -> np.ndarray:
     """One row a document; runs across a border are not counted."""
+    out = np.empty((len(texts), 1 << DIM_BITS), np.float32)
+    lo = 0
+    while lo < len(texts):
+        hi = int(np.searchsorted(texts.offsets, texts.offsets[lo] + SLICE, side="right")) - 1
+        hi = min(max(hi, lo + 1), lo + ROWS, len(texts))
+        begin, end = int(texts.offsets[lo]), int(texts.offsets[hi])
+        if end - begin <= SLICE:
+            counts = _counts(Texts(texts.data[begin:end], texts.offsets[lo : hi + 1] - begin))
+        else:  # one very long text
+            counts = np.zeros((1, out.shape[1]))
+            for a in range(begin, end, SLICE):
+                counts += _counts(Texts(texts.data[a : min(a + SLICE + 2, end)], np.array([0, min(a + SLICE + 2, end) - a])), most=SLICE)
+        out[lo:hi] = np.sqrt(counts)
+        lo = hi
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _counts(texts: Texts, most: int | None = None) -> np.ndarray:
+    """Hashed counts of the runs that begin in the first ``most`` bytes."""
     n, dim = len(texts), 1 << DIM_BITS
     data = LOWER[texts.data].astype(np.uint32)
     doc = np.repeat(np.arange(n, dtype=np.int64) << DIM_BITS, np.diff(texts.offsets))
@@ -61,9 +86,10 @@ def features(texts: Texts) -> np.ndarray:
             break
         slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - DIM_BITS)
         inside = left[: len(code)] >= size
+        if most is not None:
+            inside[most:] = False
         out += np.bincount((doc[: len(code)] + slot)[inside], minlength=n * dim)
-    out = np.sqrt(out.reshape(n, dim), dtype=np.float32) if n else np.zeros((0, dim), np.float32)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out.reshape(n, dim)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, strength: float = 1e-4, seed: int = 7) -> np.ndarray:
@@ -121,11 +147,14 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> Model:
+        return cls.fit_features(features(texts_of(pa.array(texts, pa.large_string()))), langs)
+
+    @classmethod
+    def fit_features(cls, x: np.ndarray, langs: list[str]) -> Model:
         known = sorted(set(langs))
         families = sorted({family_of(c) for c in known})
         if not known:
             return cls([], [], {}, {})
-        x = np.concatenate([features(texts_of(pa.array(texts[i : i + 128], pa.large_string()))) for i in range(0, len(texts), 128)])
         lang = np.array(langs)
         fam = np.array([family_of(c) for c in langs])
         by_family = {f: _machine(x, np.where(fam == f, 1.0, -1.0)) for f in families} if len(families) > 1 else {}
@@ -167,18 +196,41 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from rows that are not held out; about ``per_language`` rows a language reach the driver."""
+    """Learns from rows that are not held out; see ``sample`` for the bounds."""
     rows = docs.where(F.col(lang).isNotNull() & (F.col(lang) != UND) & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
-    if not counts:
-        return Model.fit([], [])
-    part = F.lit(1.0)
+    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("l"))
+    got = sample(rows, per_language).collect()
+    got.sort(key=lambda r: (r["l"], r["h"]))
+    x = np.zeros((len(got), 1 << DIM_BITS), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["weights"], np.float32)
+    return Model.fit_features(x, [r["l"] for r in got])
+
+
+def sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """(l, h, slots, weights): sparse features of the distinct rows of least hash in each language.
+
+    Only rows below about three times the wanted share of a language's distinct
+    hashes are ranked, so no language is gathered in one task.
+    """
+    h = F.xxhash64("k", "text")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct(h).alias("n")).collect()}
+    wanted = max(1, min(per_language, MOST_ROWS // max(1, len(counts))))
+    part = F.lit(0.0)
     for code, n in counts.items():
-        part = F.when(F.col(lang) == code, F.lit(per_language / n)).otherwise(part)
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(place < part).select(F.col(text).alias("t"), F.col(lang).alias("l")).collect()
-    sample.sort(key=lambda r: (r["l"], r["t"]))
-    return Model.fit([r["t"] for r in sample], [r["l"] for r in sample])
+        part = F.when(F.col("l") == code, F.lit((3 * wanted + 100) / n)).otherwise(part)
+    place = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    # copies of a row have its hash and are one
+    few = rows.where(place < part).select("l", place.alias("h"), "text").groupBy("l", "h").agg(F.min("text").alias("text"))
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= wanted).select("l", "h", "text")
+
+    def fn(part, texts):
+        x = features(texts)
+        at = np.nonzero(x)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(at[0], minlength=len(x)))])
+        yield batch(l=part.column("l"), h=part.column("h"), slots=binary_array(at[1].astype(np.uint16), bounds * 2), weights=binary_array(x[at], bounds * 4))
+
+    return map_texts(few, fn, "l string, h double, slots binary, weights binary")
 
 
 _LETTER = np.zeros(256, bool)
