@@ -18,8 +18,11 @@ documents, are joined.
 Term sets of Jaccard likeness j make fingerprints of about 128 arccos(c) / pi
 different bits, c = 2j / (1 + j): 19.4 with a deviation of 4.1 at 0.8.
 
-Null text is the empty text: no votes, all bits 0.  Repeated ids are ordered by
-text and each row counts.  An empty table gives an empty result.
+Null text is the empty text: no votes, all bits 0.  A bit whose votes tie is 0.
+Null ids come before every other; repeated ids are ordered by text and each row
+counts.  A very long text is held whole by its task, with some 40 bytes for each
+of its own.  Other columns are ignored whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import (
     CHUNK_BYTES,
+    CHUNK_ROWS,
     Rolling,
     Texts,
     Workspace,
@@ -52,8 +56,8 @@ TERM_WORDS = 5
 #: Two deviations over the mean distance of texts whose terms are 0.8 alike.
 RADIUS = 28
 MOST_TABLES = 64
-#: Fingerprints in a run of queries and of classes.
-RUN = 1 << 16
+#: Fingerprints in a run of queries and of classes, and in a tile that stays in a core's cache.
+RUN, TILE = 1 << 16, 1 << 14
 
 _BYTES, _TERMS = Rolling(101), Rolling(102)
 #: sign of bit b in byte value v
@@ -100,16 +104,26 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     buckets = shuffle_partitions(spark)
     bounds = sorted({b for b in rows.where("k is not null").approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
-    bucket = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("k").cast("double"))), F.lit(0)) if bounds else F.lit(0)
-    rows = rows.withColumn("b", bucket.cast("int"))
+    rows = rows.withColumn("b", _bucket_of(F.col("k").cast("double"), bounds).cast("int"))
     least = {r["b"]: r["m"] for r in rows.groupBy("b").agg(F.min(F.struct(F.col("k").isNotNull().alias("s"), "k")).alias("m")).collect()}
     full = sorted(least)
     before = {b: full[i - 1] for i, b in enumerate(full)}  # the first bucket's goes to the last
     links = spark.createDataFrame([(b, least[b]["k"], before[b], i == 0) for i, b in enumerate(full)], "lb int, lk long, to int, wrap boolean")
-    # one row a bucket may carry several rows of its least key: each goes along, the reader takes the least text
-    heads = rows.join(F.broadcast(links), (F.col("b") == F.col("lb")) & F.col("k").eqNullSafe(F.col("lk"))).select("k", "t", F.col("to").alias("b"), F.when(F.col("wrap"), 2).otherwise(1).alias("guest"))
+    # of several rows with a bucket's least key the least text goes along
+    heads = rows.join(F.broadcast(links), (F.col("b") == F.col("lb")) & F.col("k").eqNullSafe(F.col("lk"))).groupBy("k", "to", "wrap").agg(F.min("t").alias("t"))
+    heads = heads.select("k", "t", F.col("to").alias("b"), F.when(F.col("wrap"), 2).otherwise(1).alias("guest"))
     both = rows.select("k", "t", "b", F.lit(0).alias("guest")).unionByName(heads)
-    return both.repartition(buckets, "b").sortWithinPartitions("b", "guest", "k", "t")
+    return both.repartitionById(max(1, len(bounds) + 1), F.col("b")).sortWithinPartitions("guest", "k", "t")
+
+
+def _bucket_of(k, bounds: list[float]):
+    """How many of the sorted bounds are at most k, in two steps of the root of their number; null is before all."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, round(len(bounds) ** 0.5))
+    coarse = F.size(F.filter(F.lit(bounds[step - 1 :: step]), lambda b: b <= k)) if bounds[step - 1 :: step] else F.lit(0)
+    fine = F.size(F.filter(F.slice(F.lit(bounds), coarse * step + 1, F.lit(step)), lambda b: b <= k))
+    return F.when(k.isNull(), 0).otherwise(coarse * step + fine)
 
 
 def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", term_words: int = TERM_WORDS) -> DataFrame:
@@ -157,7 +171,7 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
                         yield out(t)
                     closed = True
                     continue
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_BYTES or len(keys) >= CHUNK_ROWS:
                     yield out(t)
                 keys.append(k)
                 texts.append(t)
@@ -221,13 +235,7 @@ def _by_all_pairs(asked: DataFrame, classes: DataFrame, n: int, radius: int) ->
 
     def compare(left, right):
         mine, theirs = words(left.column("own")), words(right.column("match"))
-        step = max(1, (1 << 21) // max(1, len(theirs)))
-        at, to, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-        for i in range(0, len(mine) if len(theirs) else 0, step):
-            d = sum(np.bitwise_count(mine[i : i + step, None, k] ^ theirs[None, :, k]) for k in range(BITS // 64))
-            x, y = np.nonzero(d <= radius)
-            at.append(x + i), to.append(y), far.append(d[x, y])
-        at, to, far = (np.concatenate(v) for v in (at, to, far))
+        at, to, far = _within(mine, theirs, radius)
         right = right.take(pa.array(to))
         return pa.table({"own": left.column("own").take(pa.array(at)), "match": right.column("match"), "distance": pa.array(far.astype(np.int32)), "copies": right.column("copies"), "first_id": right.column("first_id")})
 
@@ -236,6 +244,23 @@ def _by_all_pairs(asked: DataFrame, classes: DataFrame, n: int, radius: int) ->
     return met.select(text("own").alias("_own"), text("match").alias("match"), "distance", "copies", "first_id")
 
 
+def _within(mine: np.ndarray, theirs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of mine, row of theirs, distance) of all pairs within the radius, tile by tile."""
+    at, to, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for lo in range(0, len(theirs), TILE):
+        lanes = [np.ascontiguousarray(theirs[lo : lo + TILE, k]) for k in range(BITS // 64)]
+        differ, d, one = np.empty_like(lanes[0]), np.empty(len(lanes[0]), np.uint8), np.empty(len(lanes[0]), np.uint8)
+        for i, own in enumerate(mine):
+            np.bitwise_count(np.bitwise_xor(lanes[0], own[0], out=differ), out=d)
+            for k in range(1, BITS // 64):
+                np.bitwise_count(np.bitwise_xor(lanes[k], own[k], out=differ), out=one)
+                np.add(d, one, out=d)
+            y = np.flatnonzero(d <= radius)
+            if len(y):
+                at.append(np.full(len(y), i)), to.append(y + lo), far.append(d[y])
+    return tuple(np.concatenate(v) for v in (at, to, far))
+
+
 def search(queries: DataFrame, prints: DataFrame, n: int, radius: int = RADIUS, *, key: str = "doc_id", column: str = "fingerprint") -> DataFrame:
     """(key, match, distance, copies, first_id): for every query row, all fingerprints within the radius.
 
