@@ -13,17 +13,22 @@ banded alignment, all bands of a run of documents at once.
 Texts are compared as UTF-8 bytes with A-Z lower-cased and white space made
 equal; an edit is one inserted, deleted or changed byte.
 
-The benchmark is the stated query set: it is read in blocks of at most
-``BLOCK_BYTES`` and each block is compared with all documents in their place,
-so nothing is shuffled but hits.
+The benchmark is the stated query set: it is read in blocks of about
+``BLOCK_BYTES``, and each block is compared with all documents in their place, so
+nothing is shuffled but hits.  The driver holds one block of items at a time and
+sends the items; workers build the block's index once, and a block's hits are
+written before the next block is read.
 
 Null or short texts match nothing; items under ``q`` bytes are no evidence and
-are left out.  Repeated rows each report; null ids are reported as null.  An
-empty table on either side gives an empty result.
+are left out.  Copies of a row report once, rows that share an id with other text
+each; null ids of documents and items are reported as null.  A very long text is
+held whole by its task, with some 40 bytes for each of its own.  Other columns are
+ignored whatever their names; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -31,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, Rolling, Texts, map_texts, ranges
+from ledgerloom.llm.common import LOWER, Rolling, Texts, Workspace, map_texts, ranges
 
 SEGMENT = 64
 STRIDE = 8
 Q = 10
 EDITS = 0.06
-#: An index holds about SEGMENT / STRIDE q-grams for each byte of its items.
-BLOCK_BYTES = 2 << 20
+#: An index holds about SEGMENT / STRIDE q-grams of 6 bytes for each byte of its items.
+BLOCK_BYTES = 4 << 20
 
 _FOLD = LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 0x20
@@ -68,7 +73,7 @@ class Segments:
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         at = ranges(np.zeros(len(grams), np.int64), np.array([len(g) for g in grams], np.int64))
         order = np.argsort(h, kind="stable")
-        self.seg, self.at = seg[order], at[order]
+        self.seg, self.at = seg[order].astype(np.int32), at[order].astype(np.int16)
         self.keys, self.first = np.unique(h[order], return_index=True)
         self.first = np.append(self.first, len(h))
         self.maybe = np.zeros(1 << 22, bool)
@@ -102,7 +107,7 @@ class Segments:
             return empty, empty, empty
         n = self.first[key + 1] - self.first[key]
         where = ranges(self.first[key], n)
-        seg, x = self.seg[where], np.repeat(place, n)
+        seg, x = self.seg[where].astype(np.int64), np.repeat(place, n)
         doc = np.searchsorted(texts.offsets, x, side="right") - 1
         # one place counts once for a segment and band however often the gram recurs nearby
         diagonal = x - self.at[where] + SEGMENT  # over 0 everywhere
@@ -174,29 +179,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     matched segment; ``edits`` is the least of any segment.
     """
     spark = docs.sparkSession
+    work = Workspace(spark, "decontam")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
     schema = "k long, digest long, item long, segment int, start long, end long, edits long"
 
     def block_hits(items):
-        index = Segments(items, segment, q, edits)
-        if not index.text:
-            return None
+        name = uuid.uuid4().hex
 
         def fn(part, texts):
-            found = index.candidates(texts)
+            index = _index(name, items, segment, q, edits)
+            found = index.candidates(texts) if index.text else ([],)
             if not len(found[0]):
                 return
             d, s, cost, stop = _verify(found, texts, index)
             ids, digests = part.column("k").take(pa.array(d)), part.column("digest").take(pa.array(d))
-            items_ = np.array(index.item, np.int64)[s]
+            items_ = pa.array(index.item, pa.int64()).take(pa.array(s))
             yield pa.RecordBatch.from_arrays(
-                [ids, digests, pa.array(items_), pa.array(s.astype(np.int32)), pa.array(np.maximum(stop - index.m[s], 0)), pa.array(stop), pa.array(cost)],
+                [ids, digests, items_, pa.array(s.astype(np.int32)), pa.array(np.maximum(stop - index.m[s], 0)), pa.array(stop), pa.array(cost)],
                 names=["k", "digest", "item", "segment", "start", "end", "edits"],
             )
 
         return map_texts(rows, fn, schema)
 
-    parts = [p for p in map(block_hits, _blocks(benchmark, item, item_text)) if p is not None]
+    parts = [work.save(block_hits(items), f"hits-{i}") for i, items in enumerate(_blocks(benchmark, item, item_text))]
     hits = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return (
         hits.groupBy("k", "digest", "item")
@@ -205,6 +210,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     )
 
 
+_INDEX: dict[str, Segments] = {}
+
+
+def _index(name: str, items: list, segment: int, q: int, edits: float) -> Segments:
+    """The index of a block, built once by each worker, which keeps the last one."""
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Segments(items, segment, q, edits)
+    return _INDEX[name]
+
+
 def _blocks(benchmark: DataFrame, item: str, item_text: str):
     """Runs of distinct benchmark items of bounded size, fetched one after the other."""
     rows = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct().orderBy("i", "t")
