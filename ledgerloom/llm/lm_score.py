@@ -1,148 +1,216 @@
 """Language-model scores by masked pseudo-likelihood.
 
-Tokens are bytes in ``CLASSES`` classes (letters without case, digits as one,
-common marks, the rest by their low bits).  A network with one hidden layer
-predicts every token from ``SIDE`` tokens on either side, never from itself;
-a document's score is the sum of the log-probabilities of its tokens.
-
-Training sees all documents: each run of documents reports its distinct windows
-with counts, the counts are summed by window, and replicas of the network (a
-bucket of windows each, numpy and Adam) start from the same weights every round,
-take whole passes over their windows weighted by count, so steps grow with the
-distinct windows, and are averaged by the weight of their windows.  Weights are summed by number
-before they reach the driver, which only ever holds one network.  Scoring
-evaluates each run's distinct windows once.
-
-Null or empty text: no tokens and score 0, mean null.  Repeated rows are scored
-each and count in training.  Without any token the untrained network is used.
-Other columns are ignored; an empty table gives an empty result.
+Tokens are the UTF-8 bytes as they are.  A network with one hidden layer predicts
+every token from the ``SIDE`` bytes on either side, never from itself; a document's
+score is the sum of the log-probabilities of its tokens.  Its inputs are embeddings
+of three hashed runs of bytes: the left side, the right side, and the two nearest.
+The softmax is over the bytes that the corpus holds; another byte, met only in
+texts that were not trained on, has the log-probability ``UNSEEN``.
+
+Training sees all documents: each task reports its distinct windows with counts,
+the counts are summed by window, and replicas of the network (one a bucket of
+windows, as many as shuffle partitions; numpy and Adam) start from the same weights
+every round, take whole passes over their windows weighted by count, and are
+averaged by the weight of their windows.  So steps grow with the distinct windows
+and no task with the number of tasks.  Weights are summed in blocks before they
+reach the driver, which only ever holds one network.  Scoring evaluates each run's
+distinct windows once.
+
+Null or empty text: no tokens and score 0, mean null.  Null ids stay null.  Repeated
+rows are scored each, alike, and count in training.  Without any token the untrained
+network is used.  A very long text is read in slices: beside its bytes a task holds
+the windows of one slice.  Other columns are ignored whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Texts, Workspace, binary_array, map_texts, mix64
+from ledgerloom.llm.common import Texts, Workspace, batch, binary_array, chunks, mix64, shuffle_partitions
 from ledgerloom.llm.postings import _bytes
 
-CLASSES = 64
-SIDE = 2
-HIDDEN = 32
-ROUNDS = 3
+SIDE = 3
+HIDDEN = 24
+#: Rows of an embedding table.
+RUNS = 1 << 12
+UNSEEN = -20.0
+ROUNDS = 2
 #: Least mini-batches of all replicas together in a round: small tables take several passes.
-STEPS = 600
-REPLICAS = 12
-BATCH = 2048
-
-#: Class 0 is the edge of a document; marks with classes of their own follow letters, digit and space.
-_MARKS = b".,;:!?'\"()-/|#@&%*+=<>_"
-
-
-def _classes() -> np.ndarray:
-    table = np.zeros(256, np.uint32)
-    others = [b for b in range(256)]
-    for i in range(26):
-        table[65 + i] = table[97 + i] = 1 + i
-    table[48:58] = 27
-    table[32], table[10] = 28, 29
-    for i, b in enumerate(_MARKS):
-        table[b] = 30 + i
-    first = 30 + len(_MARKS)
-    for b in others:
-        if not table[b]:
-            table[b] = first + b % (CLASSES - first)
-    return table
-
-
-_CLASS = _classes()
-_OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-
-
-def windows(texts: Texts) -> np.ndarray:
-    """Every token's window as one number of 6-bit classes, the token itself last."""
-    c = _CLASS[texts.data]
-    n = len(c)
-    place = np.arange(n)
-    lo, hi = (np.repeat(x, np.diff(texts.offsets)) for x in (texts.offsets[:-1], texts.offsets[1:]))
-    code = np.zeros(n, np.uint32)
-    for o in _OFFSETS:
-        near = np.zeros(n, np.uint32)
-        if o < 0:
-            near[-o:] = c[:o]
-            near[place + o < lo] = 0
-        else:
-            near[:-o] = c[o:]
-            near[place + o >= hi] = 0
-        code = (code << np.uint32(6)) | near
-    return (code << np.uint32(6)) | c
+STEPS = 400
+BATCH = 8192
+RATE = 0.03
+#: Windows made at once, and distinct ones kept by a task before it reports them.
+SLICE, TABLE = 1 << 22, 1 << 22
+#: Weights summed in one row.
+BLOCK = 1 << 13
+
+#: Stands for what is outside of a document; never a byte of UTF-8.
+EDGE = 0xFF
+PLACES = 2 * SIDE
+ROWS = 1 << 16
+
+
+def windows(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, window) of every token, slice by slice; a window is one number, its bytes in order, the token last."""
+    n = len(texts)
+    pad = np.full(len(texts.data) + SIDE * (n + 1), EDGE, np.uint8)
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(texts.offsets))
+    at = np.arange(len(texts.data)) + SIDE * (doc + 1)
+    pad[at] = texts.data
+    for lo in range(0, len(at), SLICE):
+        here = at[lo : lo + SLICE]
+        first, last = here[0], here[-1] + 1
+        code = np.zeros(last - first, np.uint64)
+        for o in [*range(-SIDE, 0), *range(1, SIDE + 1), 0]:
+            code <<= np.uint64(8)
+            code |= pad[first + o : last + o]
+        yield doc[lo : lo + SLICE], code[here - first]
 
 
 def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts by place, token) of window numbers."""
-    k = len(_OFFSETS)
-    return np.stack([(codes >> np.uint32(6 * (k - i))) & np.uint32(63) for i in range(k)], axis=1).astype(np.int64), (codes & np.uint32(63)).astype(np.int64)
+    """(neighbours by place, token) of windows."""
+    b = codes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - PLACES :]
+    return np.ascontiguousarray(b[:, :PLACES].T), b[:, PLACES]
 
 
-class Network:
-    """Embeddings by place, summed; tanh; softmax."""
+def _run(places: np.ndarray) -> np.ndarray:
+    h = np.zeros(places.shape[1], np.uint32)
+    for p in places:
+        h = (h + p) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (h % np.uint32(RUNS)).astype(np.uint16)
+
+
+def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of which no exponential overflows; entries of ``h`` are below 1."""
+    z = h @ w
+    z += b
+    if (np.abs(w).sum(axis=0) + np.abs(b)).max() > 80:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 11):
-        k = len(_OFFSETS)
-        self.shapes = [(k, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+class Network:
+    """Embeddings of runs, summed; x / (1 + |x|); softmax over groups of the alphabet, then inside the group."""
+
+    def __init__(self, alphabet: np.ndarray, flat: np.ndarray | None = None, seed: int = 11):
+        self.alphabet = np.asarray(alphabet, np.uint8)
+        self.size = size = max(1, int(np.ceil(len(self.alphabet) ** 0.5)))
+        self.place = np.full(256, -1)
+        self.place[self.alphabet] = np.arange(len(self.alphabet))
+        self.shapes = [(3, RUNS, HIDDEN), (HIDDEN,), (HIDDEN, size), (size,), (size, HIDDEN, size), (size, size)]
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0.3 if len(s) > 1 else 0)) for s in self.shapes])
+            parts = [rng.standard_normal(s) * k for s, k in zip(self.shapes, (0.2, 0, 0.3, 0, 0.3, 0), strict=True)]
+            parts[5].ravel()[len(self.alphabet) :] = -30  # no byte there
+            flat = np.concatenate([p.ravel() for p in parts])
         self.flat = np.asarray(flat, np.float32).copy()
-        self.parts, at = [], 0
+        self.parts = self._cut(self.flat)
+
+    def __reduce__(self):
+        return Network, (self.alphabet, self.flat)
+
+    def _cut(self, flat: np.ndarray) -> list[np.ndarray]:
+        out, at = [], 0
         for s in self.shapes:
             size = int(np.prod(s))
-            self.parts.append(self.flat[at : at + size].reshape(s))
+            out.append(flat[at : at + size].reshape(s))
             at += size
+        return out
 
-    def _forward(self, context):
-        e, eb, w, b = self.parts
-        h = np.tanh(sum(e[i][context[:, i]] for i in range(context.shape[1])) + eb)
-        z = h @ w + b
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return h, z
-
-    def log_probability(self, codes: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-        out = np.empty(len(codes))
-        for i in range(0, len(codes), step):
-            context, token = split(codes[i : i + step])
-            _, p = self._forward(context)
-            out[i : i + step] = np.log(np.maximum(p[np.arange(len(token)), token], 1e-30))
+    @staticmethod
+    def _inputs(context: np.ndarray) -> list[np.ndarray]:
+        return [_run(context[:SIDE]), _run(context[SIDE:]), _run(context[SIDE - 1 : SIDE + 1])]
+
+    def _hidden(self, inputs: list[np.ndarray]) -> np.ndarray:
+        h = self.parts[0][0].take(inputs[0], axis=0)
+        for i, index in enumerate(inputs[1:], 1):
+            h += self.parts[0][i].take(index, axis=0)
+        h += self.parts[1]
+        scale = np.abs(h)
+        scale += 1
+        h /= scale
+        return h
+
+    def _grouped(self, codes: np.ndarray):
+        """Order by the token's group; inputs, place in the group and the groups' bounds in that order."""
+        context, token = split(codes)
+        group, inside = np.divmod(self.place[token], self.size)
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        group, inside = group[order], inside[order]
+        return order, self._inputs(context[:, order]), group, inside, np.searchsorted(group, np.arange(self.size + 1))
+
+    def log_probability(self, codes: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+        out = np.full(len(codes), UNSEEN)
+        known = np.flatnonzero(self.place[(codes & np.uint64(255)).astype(np.intp)] >= 0)
+        _, _, wg, bg, wt, bt = self.parts
+        ones = np.ones(self.size, np.float32)
+        for i in range(0, len(known), step):
+            some = known[i : i + step]
+            order, inputs, group, inside, bounds = self._grouped(codes[some])
+            h = self._hidden(inputs)
+            z = _logits(h, wg, bg)
+            lp = z[np.arange(len(some)), group]
+            lp -= np.log(np.exp(z, out=z) @ ones)
+            for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                if hi > lo:
+                    z = _logits(h[lo:hi], wt[k], bt[k])
+                    lp[lo:hi] += z[np.arange(hi - lo), inside[lo:hi]]
+                    lp[lo:hi] -= np.log(np.exp(z, out=z) @ ones)
+            out[some[order]] = lp
         return out
 
     def train(self, codes: np.ndarray, counts: np.ndarray, steps: int, rate: float, seed: int) -> None:
-        """Adam on whole passes over the windows, one pass and ``steps`` mini-batches at least."""
+        """Adam on whole passes over the windows, one pass and ``steps`` mini-batches at least; the rate falls to a tenth."""
         rng = np.random.default_rng(seed)
         entry, weight = entries(counts)
         batches = -(-len(entry) // BATCH)
-        mean, var, t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        for _ in range(max(1, -(-steps // batches))):
+        passes = max(1, -(-steps // batches))
+        grad, mean, var = (np.zeros_like(self.flat) for _ in range(3))
+        t = 0
+        g_run, g_hidden, g_wg, g_bg, g_wt, g_bt = self._cut(grad)
+        _, _, wg, bg, wt, bt = self.parts
+        for _ in range(passes):
             for some in np.array_split(rng.permutation(len(entry)), batches):
                 t += 1
-                context, token = split(codes[entry[some]])
-                n = len(some)
-                h, p = self._forward(context)
-                p[np.arange(n), token] -= 1
-                p *= (weight[some] / n)[:, None]
-                dh = (p @ self.parts[2].T) * (1 - h * h)
-                grad_e = np.zeros(self.shapes[0], np.float32)
-                for i in range(context.shape[1]):
-                    hot = np.zeros((CLASSES, n), np.float32)
-                    hot[context[:, i], np.arange(n)] = 1
-                    grad_e[i] = hot @ dh
-                grad = np.concatenate([g.ravel() for g in (grad_e, dh.sum(0), h.T @ p, p.sum(0))])
+                order, inputs, group, inside, bounds = self._grouped(codes[entry[some]])
+                share = (weight[some][order] / len(some))[:, None]
+                h = self._hidden(inputs)
+
+                def off(p, at, share):
+                    """Gradient at the logits."""
+                    np.exp(p, out=p)
+                    p /= p.sum(axis=1, keepdims=True)
+                    p[np.arange(len(p)), at] -= 1
+                    p *= share
+                    return p
+
+                grad[:] = 0
+                p = off(_logits(h, wg, bg), group, share)
+                g_wg[:], g_bg[:] = h.T @ p, p.sum(axis=0)
+                dh = p @ wg.T
+                for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    if hi > lo:
+                        p = off(_logits(h[lo:hi], wt[k], bt[k]), inside[lo:hi], share[lo:hi])
+                        g_wt[k], g_bt[k] = h[lo:hi].T @ p, p.sum(axis=0)
+                        dh[lo:hi] += p @ wt[k].T
+                dh *= np.square(1 - np.abs(h))
+                g_hidden[:] = dh.sum(axis=0)
+                for i, index in enumerate(inputs):
+                    by = np.argsort(index, kind="stable")
+                    index = index[by]
+                    first = np.flatnonzero(np.diff(index, prepend=index[:1] + np.uint16(1)))
+                    g_run[i][index[first]] = np.add.reduceat(dh[by], first)
                 mean += 0.1 * (grad - mean)
                 var += 0.01 * (grad * grad - var)
-                self.flat -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
+                now = rate * (1 - 0.9 * t / (passes * batches))
+                self.flat -= now / (1 - 0.9**t) * mean / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
 
 
 def entries(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,90 +225,174 @@ def entries(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entry, (weight / weight.mean()).astype(np.float32)
 
 
+def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows, some twice at most by chance, and the place of each window among them.
+
+    One sort of numbers: the upper bits a hash of the window, the lower its place.
+    """
+    bits = np.uint64(max(1, len(codes).bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    key = (codes * np.uint64(0x9E3779B97F4A7C15)) & ~mask
+    key |= np.arange(len(codes), dtype=np.uint64)
+    key.sort()
+    key &= mask
+    order = key.view(np.int64)
+    codes = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    inverse = np.empty(len(codes), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return codes[new], inverse
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Summed counts of several sorted tables."""
+    if len(parts) == 1:
+        return parts[0]
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+class _Table:
+    """Distinct windows with counts; merged when what came since outweighs the table."""
+
+    def __init__(self):
+        self.parts, self.new = [], 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((codes, counts.astype(np.int64)))
+        self.new += len(codes)
+        if self.new > max(1 << 21, len(self.parts[0][0])):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [_merged(self.parts)]
+        self.new = 0
+        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def __len__(self) -> int:
+        return sum(len(c) for c, _ in self.parts)
+
+
 def window_counts(rows: DataFrame, replicas: int) -> DataFrame:
-    """(replica, codes, counts): all distinct windows of the corpus, packed, each with its count."""
+    """(replica, codes, counts, m0 .. m3): all distinct windows of the corpus, packed, each with its count; bits of the tokens met."""
 
-    def fn(part, texts):
-        codes, counts = np.unique(windows(texts), return_counts=True)
-        if not len(codes):
-            return
-        at = (mix64(codes.astype(np.uint64)) % np.uint64(replicas)).astype(np.uint8)
+    def packed(table: _Table):
+        codes, counts = table.merge()
+        at = mix64(codes) % np.uint64(replicas)
         order = np.argsort(at, kind="stable")
         codes, counts, at = codes[order], counts[order], at[order]
-        first = np.append(np.flatnonzero(np.diff(at, prepend=255)), len(at))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[first[:-1]].astype(np.int32)), binary_array(codes, first * 4), binary_array(counts.astype(np.uint32), first * 4)], names=["replica", "codes", "counts"]
-        )
+        first = np.append(np.flatnonzero(np.diff(at, prepend=np.uint64(replicas))), len(at))
+        if len(codes):
+            yield batch(replica=pa.array(at[first[:-1]].astype(np.int32)), codes=binary_array(codes, first * 8), counts=binary_array(counts, first * 8))
 
-    def merge(codes, counts):
-        codes, inverse = np.unique(codes, return_inverse=True)
-        return codes, np.bincount(inverse, weights=counts).astype(np.int64)
+    def read(batches):
+        table = _Table()
+        for b in batches:
+            for _, texts in chunks(b, most=SLICE, rows=ROWS):
+                for _, codes in windows(texts):
+                    table.add(*_distinct(codes))
+                if len(table) > TABLE:
+                    table.merge()
+                if len(table) > TABLE:
+                    yield from packed(table)
+                    table = _Table()
+        yield from packed(table)
 
     def summed(batches):
-        have: dict[int, list] = {}
+        have: dict[int, _Table] = {}
         for b in batches:
             for i, r in enumerate(b.column("replica").to_pylist()):
-                row = b.slice(i, 1)
-                parts = have.setdefault(r, [])
-                parts.append((_bytes(row.column("codes")).copy().view(np.uint32), _bytes(row.column("counts")).copy().view(np.uint32).astype(np.int64)))
-                if sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
-                    have[r] = [merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-        for r, parts in sorted(have.items()):
-            codes, counts = merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            for i in range(0, len(codes), 1 << 18):
-                c, n = codes[i : i + (1 << 18)], counts[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([c.tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["replica", "codes", "counts"])
-
-    parts = map_texts(rows, fn, "replica int, codes binary, counts binary")
-    return parts.repartitionById(replicas, F.col("replica")).mapInArrow(summed, "replica int, codes binary, counts binary")
-
-
-def fit(docs: DataFrame, *, text: str = "text", replicas: int = REPLICAS, rounds: int = ROUNDS, steps: int = STEPS) -> np.ndarray:
-    """Weights of a network trained on all documents."""
-    work = Workspace(docs.sparkSession, "lm")
+                have.setdefault(r, _Table()).add(_bytes(b.column("codes").slice(i, 1)).copy().view(np.uint64), _bytes(b.column("counts").slice(i, 1)).copy().view(np.int64))
+        for r, table in sorted(have.items()):
+            codes, counts = table.merge()
+            step = 1 << 17
+            for i in range(0, len(codes), step):
+                c = codes[i : i + step]
+                tokens = np.bincount((c & np.uint64(255)).astype(np.intp), minlength=256) > 0
+                yield batch(
+                    replica=pa.array([r], pa.int32()), codes=pa.array([c.tobytes()], pa.binary()), counts=pa.array([counts[i : i + step].tobytes()], pa.binary()),
+                    **{f"m{k}": pa.array(np.packbits(tokens[64 * k : 64 * k + 64], bitorder="little").view(np.int64)) for k in range(4)},
+                )
+
+    schema = "replica int, codes binary, counts binary"
+    masks = ", ".join(f"m{k} long" for k in range(4))
+    return rows.mapInArrow(read, schema).repartitionById(replicas, F.col("replica")).mapInArrow(summed, f"{schema}, {masks}")
+
+
+def _trained(counts: DataFrame, start: Network, replicas: int, steps: int, rate: float, seed: int) -> DataFrame:
+    """(block, w): the mean of the replicas' weights, weighted by their windows, in blocks."""
+
+    def run(batches):
+        codes, counts, replica = [], [], 0
+        for b in batches:
+            for i, replica in enumerate(b.column("replica").to_pylist()):
+                codes.append(np.frombuffer(b.column("codes")[i].as_py(), np.uint64))
+                counts.append(np.frombuffer(b.column("counts")[i].as_py(), np.int64))
+        if codes:
+            codes, counts = np.concatenate(codes), np.concatenate(counts)
+            net = Network(start.alphabet, start.flat)
+            net.train(codes, counts, -(-steps // replicas), rate, seed + replica)
+            cut = range(0, len(net.flat), BLOCK)
+            yield batch(
+                block=pa.array(range(len(cut)), pa.int32()), replica=pa.array([replica] * len(cut), pa.int32()),
+                w=pa.array([net.flat[i : i + BLOCK].tobytes() for i in cut], pa.binary()), n=pa.array([float(counts.sum())] * len(cut)),
+            )
+
+    def mean(batches):
+        sums: dict[int, list] = {}
+        for b in batches:
+            for block, w, n in zip(*(b.column(c).to_pylist() for c in ("block", "w", "n")), strict=True):
+                s = sums.setdefault(block, [0.0, 0.0])
+                s[0], s[1] = s[0] + n * np.frombuffer(w, np.float32).astype(np.float64), s[1] + n
+        for block, (w, n) in sums.items():
+            yield batch(block=pa.array([block], pa.int32()), w=pa.array([(w / n).astype(np.float32).tobytes()], pa.binary()))
+
+    dealt = counts.select("replica", "codes", "counts").repartitionById(replicas, F.col("replica")).sortWithinPartitions("replica", "codes")
+    own = dealt.mapInArrow(run, "block int, replica int, w binary, n double")
+    return own.repartitionById(-(-len(start.flat) // BLOCK), F.col("block")).sortWithinPartitions("block", "replica").mapInArrow(mean, "block int, w binary")
+
+
+def fit(docs: DataFrame, *, text: str = "text", replicas: int | None = None, rounds: int = ROUNDS, steps: int = STEPS) -> Network:
+    """A network trained on all documents."""
+    spark = docs.sparkSession
+    replicas = replicas or shuffle_partitions(spark)
+    work = Workspace(spark, "lm")
     counts = work.save(window_counts(docs.select(F.col(text).alias("text")), replicas), "windows")
-    flat = Network().flat
+    masks = counts.agg(*(F.bit_or(f"m{k}").alias(f"m{k}") for k in range(4))).first()
+    met = np.unpackbits(np.array([m or 0 for m in masks], np.int64).view(np.uint8), bitorder="little")
+    net = Network(np.flatnonzero(met))
     for r in range(rounds):
-        start, rate = flat.copy(), 0.02 * 0.5**r
-
-        def run(batches, start=start, rate=rate, r=r):
-            codes, counts, seed = [], [], 0
-            for b in batches:
-                for i, replica in enumerate(b.column("replica").to_pylist()):
-                    seed = replica
-                    codes.append(np.frombuffer(b.column("codes")[i].as_py(), np.uint32))
-                    counts.append(np.frombuffer(b.column("counts")[i].as_py(), np.int64))
-            if codes:
-                codes, counts = np.concatenate(codes), np.concatenate(counts)
-                net, weight = Network(start), float(counts.sum())
-                net.train(codes, counts, max(1, steps // replicas), rate, seed * 100 + r)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(start))), pa.array(net.flat.astype(np.float64) * weight), pa.array(np.full(len(start), weight))], names=["i", "w", "n"]
-                )
-
-        dealt = counts.repartitionById(replicas, F.col("replica")).sortWithinPartitions("replica", "codes")
-        rows = dealt.mapInArrow(run, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one network
-        if rows:
-            flat = np.zeros_like(flat)
-            for row in rows:
-                flat[row["i"]] = row["w"]
-    return flat
-
-
-def score(docs: DataFrame, flat: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+        blocks = _trained(counts, net, replicas, steps, RATE * 0.5**r, 1000 * r).collect()  # one network
+        if blocks:
+            net = Network(net.alphabet, np.concatenate([np.frombuffer(b["w"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])]))
+    work.drop()
+    return net
+
+
+def score(docs: DataFrame, net: Network, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, pll, mean_pll, perplexity) for every row."""
 
-    def fn(part, texts):
-        codes, inverse = np.unique(windows(texts), return_inverse=True)
-        each = Network(flat).log_probability(codes)[inverse] if len(codes) else np.zeros(0)
-        n = np.diff(texts.offsets)
-        total = np.diff(np.concatenate([[0.0], np.cumsum(each)])[texts.offsets])
-        mean = total / np.maximum(n, 1)
-        none = n == 0
-        yield pa.RecordBatch.from_arrays(
-            [part.column("k"), pa.array(n), pa.array(np.where(none, 0, total)), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)],
-            names=["k", "n_tokens", "pll", "mean_pll", "perplexity"],
-        )
+    def run(batches):
+        for b in batches:
+            for part, texts in chunks(b, most=SLICE, rows=ROWS):
+                n, total = np.diff(texts.offsets), np.zeros(len(texts))
+                for doc, codes in windows(texts):
+                    distinct, inverse = grouped(codes)
+                    total += np.bincount(doc, weights=net.log_probability(distinct)[inverse], minlength=len(texts))
+                mean = total / np.maximum(n, 1)
+                none = n == 0
+                yield batch(k=part.column("k"), n_tokens=pa.array(n), pll=pa.array(total), mean_pll=pa.array(mean, mask=none), perplexity=pa.array(np.exp(-mean), mask=none))
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    return map_texts(rows, fn, "k long, n_tokens long, pll double, mean_pll double, perplexity double").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, "k long, n_tokens long, pll double, mean_pll double, perplexity double").withColumnRenamed("k", key)

@@ -309,32 +309,6 @@ def test_feistel_is_a_permutation(n):
     assert sorted(p) == list(range(n)) and (f.backward(p) == np.arange(n)).all()
 
 
-def test_lm_score(spark, rows):
-    prose = "the cat sat on the mat and the dog sat on the log "
-    docs = frame(spark, [(1, prose * 40), (2, prose * 40), (3, "zqx jvk wqz xkj " * 20), (4, None), (5, "")])
-    flat = lm_score.fit(docs, replicas=2, steps=120)
-    out = {r.doc_id: r for r in lm_score.score(docs, flat).collect()}
-    assert out[1].pll == pytest.approx(out[2].pll) and out[1].mean_pll > lm_score.Network().log_probability(lm_score.windows(lm_score.Texts(np.frombuffer(prose.encode(), np.uint8), np.array([0, len(prose)])))).mean()
-    assert (out[4].n_tokens, out[4].pll, out[4].mean_pll) == (0, 0.0, None)
-    tokens = np.frombuffer((prose * 40).encode(), np.uint8)
-    codes = lm_score.windows(lm_score.Texts(tokens, np.array([0, len(tokens)])))
-    assert out[1].pll == pytest.approx(lm_score.Network(flat).log_probability(codes).sum(), rel=1e-4)
-
-
-def test_lm_training_takes_every_window(monkeypatch):
-    rng = np.random.default_rng(4)
-    codes = np.unique(rng.integers(0, 1 << 30, 9000).astype(np.uint32))
-    counts = np.ones(len(codes), np.int64)
-    counts[:3] = 1_000_000, 50_000, 7
-    seen = []
-    monkeypatch.setattr(lm_score, "split", lambda c, whole=lm_score.split: (seen.append(c), whole(c))[1])
-    lm_score.Network().train(codes, counts, 1, 0.02, 5)
-    assert np.array_equal(np.unique(np.concatenate(seen)), codes)
-    entry, weight = lm_score.entries(counts)
-    share = np.bincount(entry, weights=weight)
-    assert np.allclose(share / share.sum(), counts / counts.sum(), rtol=1e-4)
-
-
 def test_gap_coding():
     gaps = np.array([0, 1, 254, 255, 256, 509, 510, 511, 100000, 3])
     data, size = postings.encode_gaps(gaps)
