@@ -136,14 +136,34 @@ def po_box_number(c: Column) -> Column:
     return F.regexp_extract(text(c), r"(?i)p\.?\s*o\.?\s*box\s*#?\s*(\d+)", 1)
 
 
-def legacy_text(c: Column, spaces: str = "-/&,.()", dropped: str = "'\"`#*!") -> Column:
-    """L-F10: some marks become spaces, others go."""
-    return collapse(F.translate(F.translate(F.lower(text(c)), spaces, " " * len(spaces)), dropped, ""))
+# Marks that become spaces and marks that go.
+LEGACY_SPACES, LEGACY_DROPPED = "{}()[],+/&|_", ".:;-*<>=~$#%!"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def head_and_tail(c: Column) -> tuple[Column, Column]:
+def legacy_marks(c: Column) -> Column:
+    """L-F10's first half: some marks become spaces, others go; inner spaces stay as they are."""
+    return F.trim(F.translate(F.translate(F.lower(text(c)), LEGACY_SPACES, " " * len(LEGACY_SPACES)), LEGACY_DROPPED, ""))
+
+
+def legacy_text(c: Column, abbreviations: dict[str, str] | None = None) -> Column:
+    """L-F10: marks, spaces and abbreviations."""
+    return F.trim(expand_words(collapse(legacy_marks(c)), abbreviations or {}))
+
+
+def legacy_joined(c: Column, abbreviations: dict[str, str] | None = None) -> Column:
+    """L-F10 without spaces."""
+    return F.replace(legacy_text(c, abbreviations), F.lit(" "), F.lit(""))
+
+
+def plain_text(c: Column) -> Column:
+    """every ASCII mark is a space."""
+    return collapse(F.translate(F.lower(text(c)), PUNCTUATION, " " * len(PUNCTUATION)))
+
+
+def head_and_tail(c: Column, abbreviations: dict[str, str] | None = None) -> tuple[Column, Column]:
     """L-F27: up to the first space, and what follows it."""
-    v = legacy_text(c)
+    v = legacy_text(c, abbreviations)
     head = F.substring_index(v, " ", 1)
     return head, F.when(F.instr(v, " ") > 0, F.substring(v, F.length(head) + 2, F.length(v))).otherwise("")
 
@@ -189,17 +209,22 @@ def id_prefix(name: str, year: int, month: int, day: int) -> str:
 
 
 def city_date(c: Column) -> Column:
-    """``..._DD_MM_YYYY`` as YYYYMMDD, else null."""
-    pattern = r"_(\d{1,2})_(\d{1,2})_(\d{4})$"
-    part = lambda i, n: F.lpad(F.regexp_extract(text(c), pattern, i), n, "0")
-    return F.when(text(c).rlike(pattern), F.concat(part(3, 4), part(2, 2), part(1, 2)))
+    """``name_D_M_YYYY`` or ``..._D_M_YYYY_x`` (a number before the last three parts) as YYYYMMDD, else null."""
+    parts = F.split(text(c), "_")
+    part = lambda i: F.try_element_at(parts, F.lit(i))
+    padded = lambda v: F.when(F.length(v) < 2, F.lpad(v, 2, "0")).otherwise(v)
+    shift = part(-4).rlike(r"^\d+$")
+    day, month, year = (F.when(shift, part(i - 1)).otherwise(part(i)) for i in (-3, -2, -1))
+    day, month = padded(day), padded(month)
+    ok = (F.size(parts) >= 4) & day.rlike(r"^\d\d$") & month.rlike(r"^\d\d$") & year.rlike(r"^\d{4}$")
+    return F.when(ok, F.concat(year, month, day))
 
 
 def email_matches_name(email: Column, name: Column) -> Column:
-    """the local part holds a word of the name of three letters or more, or the other way round."""
-    local = F.regexp_replace(F.lower(F.substring_index(text(email), "@", 1)), r"[^a-z]", "")
-    words = F.filter(F.split(F.lower(text(name)), r"[^a-z]+"), lambda w: F.length(w) >= 3)
-    return (local != "") & F.exists(words, lambda w: F.contains(local, w) | F.contains(w, local))
+    """the local part without ``._-`` holds the name without those and spaces, or the other way round."""
+    local = F.regexp_replace(F.substring_index(F.lower(F.trim(text(email))), "@", 1), r"[._\-]", "")
+    whole = F.regexp_replace(F.lower(F.trim(text(name))), r"(?U)[._\-\s]", "")
+    return (text(email) != "") & (text(name) != "") & (F.contains(whole, local) | F.contains(local, whole))
 
 
 def column_letter(index: int) -> str:
@@ -224,5 +249,4 @@ def base_and_suffix(column: str) -> tuple[str, int | None]:
 
 def literal(value: str) -> str | None:
     """the content of ``[value]``."""
-    m = re.fullmatch(r"\s*\[(.*)\]\s*", value or "")
-    return m[1].strip() if m else None
+    return value[1:-1] if isinstance(value, str) and len(value) > 1 and value[0] == "[" and value[-1] == "]" else None

@@ -44,11 +44,28 @@ DECISIONS = """select event_id, user_id as pair_id, ts as reviewed_at,
 from events"""
 
 
+#: Pairs of possible duplicates with a decision, the clusters of their records, and a batch of new decisions.
+DUPLICATES = """select o_orderkey as pair_id, o_custkey % 60 as index_a, 60 + o_orderkey % 60 as index_b, (o_orderkey % 1000) / 1000e0 as similarity,
+ case o_orderstatus when 'F' then 'DUPLICATE' when 'O' then 'UNCERTAIN' else 'NOT_DUPLICATE' end as decision, o_orderkey % 3 = 0 as intra_cluster
+from orders"""
+ASSIGNED = "select p_partkey as idx, p_partkey % 45 as cluster from part where p_partkey < 110"
+BATCH = """select o_orderkey * 3 as pair_id, case o_orderkey % 2 when 0 then 'DUPLICATE' else 'NOT_DUPLICATE' end as decision
+from orders where o_orderkey % 211 = 5"""
+#: Several runs of each step, and the states they went through.
+STEP_LOG = """select event_id as log_id, concat(cast(user_id % 40 as string), '/', event_type) as step_key, user_id % 40 as run_id, event_type as step, ts as seen_at,
+ case when value < 30 then 'failed' when value < 60 then 'running' else 'completed' end as status from events"""
+#: Records of several owners, phones and mails, in numbered columns.
+OWNERS = """select c_custkey as owner_id, concat('First', cast(c_custkey % 7 as string)) as owner_first, case when c_custkey % 3 = 0 then '' else 'M.' end as owner_middle,
+ case when c_custkey % 5 = 0 then '-' else concat('Last', cast(c_custkey % 11 as string)) end as owner_last, concat('555', cast(1000000 + c_custkey as string)) as phone_1,
+ case when c_custkey % 2 = 0 then concat('556', cast(1000000 + c_custkey as string)) else 'nan' end as phone_2, case when c_custkey % 4 = 1 then 'Jo Roe' else '' end as manager_1,
+ case when c_custkey % 4 = 2 then 'Al Poe' else '' end as manager_2, case when c_custkey % 6 = 0 then concat(lower(c_mktsegment), '@example.com') else 'none' end as email from customer"""
+
+
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a one-table select over the Parquet table without registering a view."""
     head, _, rest = sql.rpartition("from ")
     table, _, where = rest.partition(" where ")
@@ -73,20 +90,28 @@ def _split(columns: str) -> list[str]:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, REGISTRY)
+    return derive(spark, sf_dir, REGISTRY)
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, MASTER)
+    return derive(spark, sf_dir, MASTER)
 
 
 def custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, CUSTOM)
+    return derive(spark, sf_dir, CUSTOM)
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, CONTACTS)
+    return derive(spark, sf_dir, CONTACTS)
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, DECISIONS)
+    return derive(spark, sf_dir, DECISIONS)
+
+
+def table_of(sql: str):
+    """A fixture as a function of (spark, sf_dir)."""
+    return lambda spark, sf_dir: derive(spark, sf_dir, sql)
+
+
+duplicates, assigned, batch, step_log, owners = map(table_of, (DUPLICATES, ASSIGNED, BATCH, STEP_LOG, OWNERS))

@@ -68,9 +68,16 @@ def phone_digits(spark, d):
     return X.contacts(spark, d).select("id", N.digits(F.col("phone_1")).alias("plain"), N.phone(F.col("phone_2")).alias("national"))
 
 
-@query(f"with contacts as ({X.CONTACTS}) select id, contains(regexp_replace(split_part(lower(email), '@', 1), '[^a-z]', '', 'g'), 'customer') as fits from contacts")
+_MAILS = """select c_custkey as id, case c_custkey % 4 when 0 then concat(lower(replace(c_name, '#', '.')), '@example.com') when 1 then concat('mail_', cast(c_custkey as string), '@example.com')
+ when 2 then substring(c_name, 1, 8) else '' end as email, replace(c_name, '#', case c_custkey % 3 when 0 then ' ' when 1 then '-' else '_' end) as person from customer"""
+
+
+@query(
+    f"""with m as ({_MAILS}), k as (select id, email, person, regexp_replace(split_part(lower(email), '@', 1), '[._-]', '', 'g') as l, regexp_replace(lower(person), '[._\\s-]', '', 'g') as w from m)
+select id, email <> '' and (contains(w, l) or contains(l, w)) as fits from k"""
+)
 def email_name(spark, d):
-    return X.contacts(spark, d).select("id", N.email_matches_name(F.col("email"), F.col("person")).alias("fits"))
+    return X.derive(spark, d, _MAILS).select("id", N.email_matches_name(F.col("email"), F.col("person")).alias("fits"))
 
 
 # ------------------------------------------------------------------ similarity
@@ -214,9 +221,9 @@ def review_queue(spark, d):
     return queue.select("registry_index", "master_index", F.col("registry.business_name").alias("business_name"), F.col("master.name").alias("name"))
 
 
-@query(f"with {O.JUDGED} select registry_index, master_index, a_name, b_name from final where final_decision = 'AUTO_MATCH' and (contains(lower(a_name), 'steel') or contains(lower(b_name), 'steel'))")
+@query(f"with {O.JUDGED} select registry_index, master_index, a_name, b_name from final where final_decision = 'AUTO_MATCH' and (contains(lower(a_name), 'an') or contains(lower(b_name), 'an'))")
 def matches_search(spark, d):
-    return review.searched(linkage.confirmed(_matched(spark, d)), "STEEL", ["a_name", "b_name"]).select("registry_index", "master_index", "a_name", "b_name")
+    return review.searched(linkage.confirmed(_matched(spark, d)), "AN", ["a_name", "b_name"]).select("registry_index", "master_index", "a_name", "b_name")
 
 
 # ------------------------------------------------------------------ dedup
@@ -437,9 +444,22 @@ def tables_(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@query("select * from (values ('capacity', 'Text(Small)'), ('seats', 'Number'), ('permit_dates', 'Text(Small)'), ('state', 'Text(Small)')) t(column_name, data_type)")
+_TYPED = """select cast(p_size as string) as seats, p_name as label, concat('0', cast(1 + p_partkey % 9 as string), '/1', cast(p_partkey % 10 as string), '/2010') as opened,
+ case when p_partkey % 2 = 0 then '1999' else 'n/a' end as built, case when p_partkey % 7 = 0 then '' else cast(p_size as string) end as floors,
+ repeat(p_name, cast(20 + p_partkey % 5 as int)) as memo, repeat(p_name, cast(400 + p_partkey % 5 as int)) as deed from part"""
+_TYPED_COLUMNS = ("seats", "label", "opened", "built", "floors", "memo", "deed")
+
+
+@query(
+    f"with t as ({_TYPED}) "
+    + " union all ".join(
+        f"""select '{c}' as column_name, case when bool_and(try_cast({c} as double) is not null) then 'Number' when bool_and(regexp_full_match({c}, '\\d{{4}}')) then 'Year'
+ when bool_and(try_strptime({c}, '%m/%d/%Y') is not null) then 'Date' when max(length({c})) < 256 then 'Text(Small)' when max(length({c})) < 4096 then 'Text(Medium)' else 'Text(Large)' end as data_type from t"""
+        for c in _TYPED_COLUMNS
+    )
+)
 def infer_type(spark, d):
-    return outputs.data_types(X.custom(spark, d), ["capacity", "seats", "permit_dates", "state"])
+    return outputs.data_types(X.derive(spark, d, _TYPED), list(_TYPED_COLUMNS))
 
 
 @query(f"{_CUSTOM} select custom_uuid, state, case state when 'CA' then 'United States' when 'ON' then 'Canada' else '' end as country from custom")
@@ -462,7 +482,7 @@ def business_sheet(spark, d):
 
 @query(
     f"""{_CUSTOM}, k as (select custom_uuid, capacity, coalesce(list_min(regexp_extract_all(opened, '[1-9]\\d{{3}}')), '') as opened from custom)
-select 2 as ordinal, custom_uuid, opened, capacity from k union all select 0, '', 'Year', 'Text(Small)' union all select 1, '', '', ''"""
+select 2 as ordinal, custom_uuid, opened, capacity from k union all select 0, 'Custom Data Type', 'Year', 'Text(Small)' union all select 1, 'ID', 'User Defined', 'User Defined'"""
 )
 def custom_sheet(spark, d):
     return outputs.custom_sheet(X.custom(spark, d), "custom_uuid", {"opened": "Year", "capacity": "Text(Small)"})
@@ -622,16 +642,16 @@ def top1_lookup(spark, d):
 
 @query()
 def contained_words(spark, d):
-    return _legacy_pairs(spark, d).withColumn("share", legacy.contained_words(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", r6("share"))
+    return _legacy_pairs(spark, d).withColumn("inside", legacy.contained_words(F.col("a_norm"), F.col("b_norm"))).select("a_norm", "b_norm", "inside")
 
 
 # ------------------------------------------------------------------ contacts (N)
 
 _CONFIGS = [
-    contacts.ContactConfig("phone_1", "phone_number", "work", "person", "title"),
-    contacts.ContactConfig("phone_2", "phone_number", "other", "person"),
-    contacts.ContactConfig("phone_3", "phone_number", "other"),
-    contacts.ContactConfig("email", "email", "work", "person", "title"),
+    contacts.ContactConfig("phone_1", "[phone_number]", "[work]", "person", "title"),
+    contacts.ContactConfig("phone_2", "[phone_number]", "[other]", "person"),
+    contacts.ContactConfig("phone_3", "[phone_number]", "[other]"),
+    contacts.ContactConfig("email", "[email]", "[work]", "person", "title"),
 ]
 
 
@@ -645,7 +665,7 @@ def contact_extract(spark, d):
 @query()
 def contact_dedup(spark, d):
     people = contacts.merged_people(contacts.extracted(X.contacts(spark, d), "id", _CONFIGS), "id")
-    return contacts.wide(people, "id", 2, 3)
+    return contacts.wide(people, "id")
 
 
 @query("select c_mktsegment as title, count(*) as n, row_number() over (order by count(*) desc, c_mktsegment) as place from customer group by 1")

@@ -49,6 +49,54 @@ def custom_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ("UUID", "Custom Data Name", "ID")]
 
 
+def partition_scan(spark: SparkSession, path: str, **where) -> DataFrame:
+    """Rows of a partitioned table; conditions on partition columns prune its folders."""
+    df = spark.read.parquet(path)
+    for column, value in where.items():
+        df = df.where(F.col(column) == value)
+    return df
+
+
+def sheet_columns(spark: SparkSession, sheets: dict[str, str], wanted: str = "custom") -> list[str]:
+    """The custom columns of the sheet whose name holds ``wanted``; none without such a sheet."""
+    name = pick_sheet(list(sheets), wanted)
+    return custom_columns(read_sheet(spark, sheets[name])) if name else []
+
+
+def abbreviations(spark: SparkSession, path: str) -> dict[str, str]:
+    """A JSON object of word and expansion; empty if there is no such file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return load_schema(path, spark) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else {}
+
+
+def register_city(spark: SparkSession, cities: str, name: str, kind: str, registry: str, master: str) -> list[str]:
+    """Appends a city with the paths of its files, and gives the registry's columns."""
+    row = spark.createDataFrame([(name, kind, registry, master)], "name string, city_or_county string, raw_data_path string, export_path string")
+    row.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(cities)
+    return header(spark, registry)
+
+
+def three_files(registry: DataFrame, master: DataFrame, matched: DataFrame, a_key: str, b_key: str, system: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """L-K13: matched pairs side by side with ``_1`` and ``_2``, and what is left of either side.
+
+    Names in ``system`` keep their name in the matched file; the files of the
+    rest bear their key once more at the end, without a number.
+    """
+    end = lambda df, n, keep: [F.col(f"`{c}`").alias(c if c in keep else f"{c}_{n}") for c in df.columns]
+    keep = {a_key, b_key, *system}
+    a = registry.select(*end(registry, 1, keep))
+    b = master.select(*(c for c in end(master, 2, keep)))
+    rest = lambda df, key, n: df.join(matched.select(key).distinct(), key, "left_anti").select(*end(df, n, ()), F.col(key))
+    return {"matched": matched.select(a_key, b_key).join(a, a_key).join(b, b_key), "registry": rest(registry, a_key, 1), "master": rest(master, b_key, 2)}
+
+
+def matched_export(matched: DataFrame, registry: DataFrame, master: DataFrame, a_key: str, b_key: str, prefix: str = "master_") -> DataFrame:
+    """L-K14: both records of each pair in one row; a master column whose name is taken gets the prefix."""
+    taken = set(registry.columns)
+    b = master.select(*(F.col(c).alias(f"{prefix}{c}" if c in taken else c) for c in master.columns))
+    return matched.select(a_key, b_key).join(registry, a_key).join(b, b_key)
+
+
 def concatenated(business: DataFrame, custom: DataFrame | None, contact: DataFrame | None, how: str = "left") -> DataFrame:
     """J1, J2 (left) and L-J3 (inner): side tables by their id column, clashing names with a suffix."""
     out = business

@@ -93,7 +93,9 @@ def test_contacts():
     out = contacts.deduplicated([person("Jane Roe", ("555-1", "other")), person("jane roe", ("5551", "work")), person("BLK_1", ("555 1", "work")), person("BLK_2", ("777", "work"))])
     assert [p["name"] for p in out] == ["Jane Roe", "BLK_2"]
     assert [s["type"] for s in out[0]["contact_sets"]] == ["work"]
-    assert contacts.merged_list("Owner, CEO", "owner, Manager") == "Owner, CEO, Manager"
+    assert contacts.merged_list("Owner, CEO", "Manager") == "Owner, CEO, Manager"
+    assert contacts.merged_list("Owner, CEO", "owner, Manager") == "Owner, CEO, owner, Manager"  # the second text is one item
+    assert contacts.merged_list("Office Manager", "Office Managers") == "Office Managers"
     assert contacts.same_person("Jon Smith", "John Smith") == (difflib.SequenceMatcher(None, "jon smith", "john smith").ratio() >= 0.87)
 
 
