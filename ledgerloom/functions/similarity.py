@@ -2,7 +2,7 @@
 
 Everything rests on the length of the longest common subsequence.  It is the
 one thing that needs Python: an Arrow UDF, bit-parallel, one evaluation for a
-distinct pair of a batch.  Scores around it are native expressions.  Columns
+distinct pair as long as the worker remembers it.  Scores around it are native expressions.  Columns
 passed in should be materialised after native filters, since Spark evaluates
 Python UDFs before CASE branches.
 """
@@ -34,15 +34,30 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+#: Answers that a worker remembers for each score; it forgets them all when there are more.
+REMEMBERED = 1 << 19
+
+
+def _remembered(score, pairs) -> list:
+    """``score`` of each pair, once for a distinct pair as long as the worker remembers it."""
+    seen = _ANSWERS.setdefault(score.__qualname__, {})
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    out = []
+    for pair in pairs:
+        got = seen.get(pair)
+        if got is None:
+            got = seen[pair] = score(*pair)
+        out.append(got)
+    return out
+
+
+_ANSWERS: dict[str, dict] = {}
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict[tuple[str, str], int] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in seen:
-            seen[pair] = lcs(pair[0] or "", pair[1] or "")
-        out.append(seen[pair])
-    return pd.Series(out, dtype="int32")
+    return pd.Series(_remembered(lcs, zip(a.fillna(""), b.fillna(""), strict=True)), dtype="int32")
 
 
 def ratio_of(common: Column, a: Column, b: Column) -> Column:
@@ -141,15 +156,11 @@ def weighted(a: str, b: str) -> float:
 
 
 def _pairwise(score):
+    """A score of two texts as an Arrow UDF; ``score`` has a name of its own in its module or function."""
+
     @F.pandas_udf(T.DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-            if pair not in seen:
-                seen[pair] = score(*pair)
-            out.append(seen[pair])
-        return pd.Series(out, dtype="float64")
+        return pd.Series(_remembered(score, zip(a.fillna(""), b.fillna(""), strict=True)), dtype="float64")
 
     return udf
 
@@ -157,7 +168,13 @@ def _pairwise(score):
 #: F33, F34, F37.
 partial_ratio = _pairwise(_partial)
 weighted_ratio = _pairwise(weighted)
-sequence_ratio = _pairwise(lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
+
+
+def _sequence(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+sequence_ratio = _pairwise(_sequence)
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -11,6 +11,7 @@ from ledgerloom.functions import normalize as N
 from ledgerloom.functions import similarity as S
 from ledgerloom.operators import judge
 from ledgerloom.operators.graph import connected_components
+from ledgerloom.operators.linkage import scored_once, tiled_join
 from ledgerloom.sources.workspace import Workspace, shuffle_partitions
 
 
@@ -87,10 +88,9 @@ def duplicate_links(prepared: DataFrame) -> DataFrame:
     names are linked first and forms meet through them; where both sides have a
     number or a box number it is a join key as well.
     """
-    forms = _distinct_forms(prepared)
-    linked = similar_names(forms, "norm", "tokens", 83, 1.5)
     work = Workspace(prepared.sparkSession, "dedup")
-    linked = work.save(linked, "names")
+    forms = work.save(_distinct_forms(prepared), "forms")
+    linked = work.save(similar_names(forms, "norm", "tokens", 83, 1.5), "names")
     key = lambda s: F.when(F.col(f"{s}_kind") == "numbered", F.col(f"{s}_number")).when((F.col(f"{s}_kind") == "box") & (F.col(f"{s}_box") != ""), F.concat(F.lit("box "), F.col(f"{s}_box")))
     a = _sides(forms, "a").withColumn("_ka", key("a")).join(linked.withColumnRenamed("a_name", "a_norm"), "a_norm")
     b = _sides(forms, "b").withColumn("_kb", key("b")).withColumnRenamed("b_norm", "b_name")
@@ -107,6 +107,7 @@ def duplicate_links(prepared: DataFrame) -> DataFrame:
 
 def clusters(prepared: DataFrame) -> DataFrame:
     """(idx, cluster) with clusters numbered densely by their least record."""
+    prepared = Workspace(prepared.sparkSession, "dedup").save(prepared, "prepared")
     forms = [c for c in prepared.columns if c != "idx"]
     own = prepared.select("idx", F.min("idx").over(Window.partitionBy(*forms)).alias("form"))
     labels = connected_components(duplicate_links(prepared), "a", "b")
@@ -138,16 +139,20 @@ def representatives(records: DataFrame, cluster: str, order: str, columns: list[
 
 
 def cluster_pairs(members: DataFrame) -> DataFrame:
-    """Pairs inside a cluster; ``members``: cluster and the prepared columns."""
-    a, b = _sides(members, "a"), _sides(members, "b")
-    return a.join(b, (F.col("a_cluster") == F.col("b_cluster")) & (F.col("a_idx") < F.col("b_idx")))
+    """Pairs inside a cluster; ``members``: cluster and the prepared columns.
+
+    Large clusters are cut in tiles, so no task holds a whole one.
+    """
+    kept = Workspace(members.sparkSession, "inside").save(members.withColumn("sorted", S.sorted_tokens(F.col("address"))), "members")
+    a, b = _sides(kept, "a"), _sides(kept, "b")
+    return tiled_join(a.withColumn("cluster", F.col("a_cluster")), b.withColumn("cluster", F.col("b_cluster")), ["cluster"]).where("a_idx < b_idx").drop("cluster")
 
 
 def verify_inside(pairs: DataFrame) -> DataFrame:
-    """KEEP, SPLIT (the later row leaves), JUDGE or NONE."""
-    pairs = _dealt(pairs)
-    address = S.ratio(S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address")))
-    scored = pairs.withColumn("name_score", S.ratio(F.col("a_tokens"), F.col("b_tokens"))).withColumn("address_score", address)
+    """KEEP, SPLIT (the later row leaves), JUDGE or NONE; names and addresses are scored once a distinct pair."""
+    work = Workspace(pairs.sparkSession, "verify")
+    scored = scored_once(pairs, ["a_tokens", "b_tokens"], {"name_score": S.ratio(F.col("a_tokens"), F.col("b_tokens"))}, work, "names")
+    scored = scored_once(scored, ["a_sorted", "b_sorted"], {"address_score": S.ratio(F.col("a_sorted"), F.col("b_sorted"))}, work, "addresses")
     same = (F.col("a_address") != "") & (F.col("a_address") == F.col("b_address"))
     blank = (F.col("a_kind") == "blank") | (F.col("b_kind") == "blank")
     action = (
@@ -171,11 +176,12 @@ def near_misses(members: DataFrame, name_least: int = 92, address_least: int = 8
 
     Like names are found first, over distinct names; members meet through them.
     """
-    cols = members.select("idx", "cluster", "tokens", "address", (F.col("kind") == "blank").alias("blank"))
+    cols = members.select("idx", "cluster", "tokens", "address", S.sorted_tokens(F.col("address")).alias("sorted_address"), (F.col("kind") == "blank").alias("blank"))
+    cols = Workspace(members.sparkSession, "near").save(cols, "members")
     linked = similar_names(cols, "tokens", None, name_least, 1.2).withColumnsRenamed({"a_name": "a_tokens", "score": "name_score"})
     b = _sides(cols, "b").withColumnRenamed("b_tokens", "b_name")
     named = _sides(cols, "a").join(linked, "a_tokens").join(b, "b_name").where("a_idx < b_idx and a_cluster <> b_cluster")
-    scored = _dealt(named).withColumn("address_score", S.ratio(S.sorted_tokens(F.col("a_address")), S.sorted_tokens(F.col("b_address"))))
+    scored = _dealt(named).withColumn("address_score", S.ratio(F.col("a_sorted_address"), F.col("b_sorted_address")))
     return scored.where(F.col("a_blank") | F.col("b_blank") | (F.col("address_score") >= address_least)).select(
         F.col("a_idx").alias("a"), F.col("b_idx").alias("b"), "a_cluster", "b_cluster", "name_score", "address_score"
     )

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
 from ledgerloom.functions import similarity as S
-from ledgerloom.sources.workspace import shuffle_partitions
+from ledgerloom.sources.workspace import Workspace, shuffle_partitions
 
 AUTO_MATCH, AUTO_REJECT, NEEDS_REVIEW, HUMAN_ACCEPT = "AUTO_MATCH", "AUTO_REJECT", "NEEDS_REVIEW", "HUMAN_ACCEPT"
 CANDIDATE, NO_MATCH = "CANDIDATE", "DEFINITE_NO_MATCH"
-#: Parts of a block: there are few blocks, and some hold most records.
-SALTS = 8
+#: Pairs that one task makes of a block at most.
+TILE_PAIRS = 1 << 17
 CONFIRMED = (AUTO_MATCH, HUMAN_ACCEPT)
 
 
@@ -21,14 +21,19 @@ def prepared(records: DataFrame, side: str, key: str, name: str, address: str) -
     norm = N.match_name(F.col(name))
     street = N.match_address(F.col(address))
     return records.select(
-        F.col(key).alias(key), F.col(name).alias(f"{side}_name"), F.col(address).alias(f"{side}_address"), norm.alias(f"{side}_norm"),
-        S.sorted_tokens(norm).alias(f"{side}_sorted"), S.sorted_tokens(F.regexp_replace(street, r"(?U)^\d+[\w\-]?\s*", "")).alias(f"{side}_street"),
-        N.street_number_wide(F.col(address)).alias(f"{side}_num"), N.is_blank(F.col(address)).alias(f"{side}_blank"),
-        F.substring(norm, 1, 2).alias("block"), N.simple_name(F.col(name)).alias(f"{side}_simple"), N.street_number(F.col(address)).alias(f"{side}_first"),
-        S.token_set(N.simple_name(F.col(name))).alias(f"{side}_set"), S.sorted_tokens(F.lower(N.text(F.col(address)))).alias(f"{side}_lower"),
+        F.col(key).alias(key), N.text(F.col(name)).alias(f"{side}_name"), N.text(F.col(address)).alias(f"{side}_address"), norm.alias(f"{side}_norm"),
+        S.sorted_tokens(F.regexp_replace(street, r"(?U)^\d+[\w\-]?\s*", "")).alias(f"{side}_street"),
+        N.street_number_wide(F.col(address)).alias(f"{side}_num"), N.street_number(F.col(address)).alias(f"{side}_first"), N.is_blank(F.col(address)).alias(f"{side}_blank"),
+        F.substring(norm, 1, 2).alias("block"),
     )
 
 
+def written(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides as written tables: joins read them several times, and their forms are long chains of expressions."""
+    work = Workspace(a.sparkSession, "sides")
+    return work.save(a, "a"), work.save(b, "b")
+
+
 def candidate_pairs(a: DataFrame, b: DataFrame, *, pushed: bool = True) -> DataFrame:
     """Pairs whose normal names begin with the same two characters.
 
@@ -37,33 +42,63 @@ def candidate_pairs(a: DataFrame, b: DataFrame, *, pushed: bool = True) -> DataF
     on block and number; the others, where a number is missing, on the block.
     """
     if not pushed:
-        return a.join(b, "block")
+        return tiled_join(a, b, ["block"])
     a1, a0 = a.where("a_num <> ''"), a.where("a_num = ''")
     b1, b0 = b.where("b_num <> ''"), b.where("b_num = ''")
-    same = a1.join(b1.withColumn("a_num", F.col("b_num")), ["block", "a_num"])
-    return same.unionByName(_salted(a0, b, a.columns[0])).unionByName(_salted(a1, b0, a.columns[0]))
+    same = tiled_join(a1, b1.withColumn("a_num", F.col("b_num")), ["block", "a_num"])
+    return same.unionByName(tiled_join(a0, b, ["block"])).unionByName(tiled_join(a1, b0, ["block"]))
+
 
+def tiled_join(a: DataFrame, b: DataFrame, on: list[str], most: int = TILE_PAIRS) -> DataFrame:
+    """Equi join that cuts the pairs of a large key in tiles of about ``most``.
 
-def _salted(a: DataFrame, b: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Join on the block; the left side of a block is dealt over salts and the right side goes to each."""
-    left = a.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    right = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
-    return left.join(right.hint("shuffle_hash"), ["block", "_salt"]).drop("_salt")
+    Rows are counted by key on either side.  A key with more pairs than a tile
+    is cut into rows and columns of tiles; a left row goes to the tiles of its
+    row, a right row to those of its column, so each pair meets once and no
+    task holds a whole key.  Keys of one tile are joined as they are.
+    """
+    count = lambda df, n: df.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    side = float(most) ** 0.5
+    sizes = count(a, "_na").join(count(b, "_nb"), on).where(F.col("_na").cast("double") * F.col("_nb") > most)
+    cut = lambda n, other: F.greatest(F.lit(1), F.ceil(F.col(n) / F.greatest(F.lit(side), most / F.col(other)))).cast("int")
+    sizes = sizes.select(*on, cut("_na", "_nb").alias("_down"), cut("_nb", "_na").alias("_across"))
+
+    def dealt(df, own, own_n, other, other_n):
+        known = df.join(sizes, on, "left")
+        place = F.pmod(F.xxhash64(*(c for c in df.columns if c not in on)), F.coalesce(own_n, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1))
+        return known.withColumn(own, place).withColumn(other, every).drop("_down", "_across")
+
+    # few rows make many pairs: dealt by tile, whatever files they were read from
+    left = dealt(a, "_i", F.col("_down"), "_j", "_across").repartition(shuffle_partitions(a.sparkSession), *on, "_i", "_j")
+    right = dealt(b, "_j", F.col("_across"), "_i", "_down")
+    return left.join(right, [*on, "_i", "_j"]).drop("_i", "_j")
+
+
+def scored_once(pairs: DataFrame, columns: list[str], scores: dict[str, Column], work: Workspace, name: str, forms: dict[str, Column] | None = None) -> DataFrame:
+    """Scores of two texts, made once for each distinct pair of texts and joined back.
+
+    Records share names and streets, so this is far less than one score a pair.
+    ``forms`` are columns that scores read several times; they are made ahead of
+    a shuffle, which keeps the optimizer from making them anew each time.
+    """
+    parts = shuffle_partitions(pairs.sparkSession)
+    distinct = pairs.select(*columns).distinct().withColumns(forms or {}).repartition(parts, *columns)
+    return pairs.join(work.save(distinct.withColumns(scores).drop(*(forms or {})), name), columns)
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Name and street scores (F39, F40) and the substring test."""
-    named = (F.col("a_norm") != "") & (F.col("b_norm") != "")
-    streets = (F.col("a_street") != "") & (F.col("b_street") != "")
-    return (
-        pairs.withColumn("_n", S.lcs_length("a_norm", "b_norm"))
-        .withColumn("_t", S.lcs_length("a_sorted", "b_sorted"))
-        .withColumn("_s", S.lcs_length("a_street", "b_street"))
-        .withColumn("name_score", F.when(named, F.greatest(S.ratio_of(F.col("_n"), F.col("a_norm"), F.col("b_norm")), S.ratio_of(F.col("_t"), F.col("a_sorted"), F.col("b_sorted")))).otherwise(0.0))
-        .withColumn("address_score", F.when(streets, S.ratio_of(F.col("_s"), F.col("a_street"), F.col("b_street"))).otherwise(0.0))
-        .withColumn("contained", S.substring_match(F.col("a_norm"), F.col("b_norm")))
-        .drop("_n", "_t", "_s")
-    )
+    """Name and street scores (F39, F40) and the substring test.
+
+    Pairs are far more than records: joining the written sides again is cheaper
+    than writing the pairs.
+    """
+    work = Workspace(pairs.sparkSession, "scored")
+    a, b = F.col("a_norm"), F.col("b_norm")
+    named = F.when((a != "") & (b != ""), F.greatest(S.ratio(a, b), S.token_sort_ratio(a, b))).otherwise(0.0)
+    streets = F.when((F.col("a_street") != "") & (F.col("b_street") != ""), S.ratio(F.col("a_street"), F.col("b_street"))).otherwise(0.0)
+    pairs = scored_once(pairs, ["a_norm", "b_norm"], {"name_score": named, "contained": S.substring_match(a, b)}, work, "names")
+    return scored_once(pairs, ["a_street", "b_street"], {"address_score": streets}, work, "streets")
 
 
 def rule_verdict() -> Column:
@@ -92,27 +127,41 @@ def number_match() -> Column:
 def rule_filter(a: DataFrame, b: DataFrame) -> DataFrame:
     """The candidates with scores.
 
-    A join makes many pairs from few rows, so adaptive execution would merge its
-    small partitions; pairs are dealt out by both keys before Python scores them.
+    A pair without two numbers needs a name score of 55 or one name inside the
+    other, which lengths alone often rule out before anything is scored.
     """
-    pairs = candidate_pairs(a, b).repartition(shuffle_partitions(a.sparkSession), a.columns[0], b.columns[0])
+    numbered = (F.col("a_num") != "") & (F.col("b_num") != "")
+    hopeful = S.length_allows(F.col("a_norm"), F.col("b_norm"), 55) | S.substring_match(F.col("a_norm"), F.col("b_norm"))
+    pairs = candidate_pairs(*written(a, b)).where(numbered | hopeful)
     return scored(pairs).withColumn("verdict", rule_verdict()).withColumn("number_match", number_match()).where(F.col("verdict") == CANDIDATE)
 
 
 def prejudge(candidates: DataFrame) -> DataFrame:
-    """``decision`` AUTO_MATCH, AUTO_REJECT or null (a judge is needed); ``simple_score`` is F32 on F3 names."""
-    a_num, b_num = F.col("a_first"), F.col("b_first")
-    named = candidates.withColumn("simple_score", S.token_set_score(F.col("a_set"), F.col("b_set"))).withColumn("_addr", S.ratio(F.col("a_lower"), F.col("b_lower")))
-    n, blank_a, blank_b = F.col("simple_score"), F.col("a_blank"), F.col("b_blank")
-    equal = (a_num != "") & (a_num == b_num)
+    """``decision`` AUTO_MATCH, AUTO_REJECT or null (a judge is needed); ``simple_score`` is F32 on F3 names.
+
+    Names are scored once a distinct pair, addresses only where they decide.
+    """
+    work = Workspace(candidates.sparkSession, "prejudge")
+    candidates = work.save(candidates.drop("a_norm", "b_norm", "a_street", "b_street", "a_num", "b_num", "block", "contained"), "candidates")
+    simple = {s: N.simple_name(F.col(f"{s}_name")) for s in "ab"}
+    forms = {**{f"_{s}": c for s, c in simple.items()}, **{f"_{s}_set": S.token_set(c) for s, c in simple.items()}}
+    scores = {"simple_score": S.token_set_score(F.col("_a_set"), F.col("_b_set")), "_same": (F.col("_a") != "") & (F.col("_a") == F.col("_b"))}
+    named = scored_once(candidates, ["a_name", "b_name"], scores, work, "names", forms)
+    a_num, b_num, n = F.col("a_first"), F.col("b_first"), F.col("simple_score")
+    near = (a_num != "") & (a_num == b_num) & (n >= 88)
+    sorted_ = lambda c: S.sorted_tokens(F.lower(F.col(c)))
+    asked = named.where(near).select("a_address", "b_address").distinct()
+    alike = work.save(asked.withColumn("_addr", S.ratio(sorted_("a_address"), sorted_("b_address"))), "addresses")
+    blank_a, blank_b = F.col("a_blank"), F.col("b_blank")
     decision = (
         F.when((a_num != "") & (b_num != "") & (a_num != b_num), AUTO_REJECT)
         .when(n < 50, AUTO_REJECT)
         .when(blank_a & blank_b & (n >= 90), AUTO_MATCH)
-        .when(equal & (n >= 88) & (F.col("_addr") >= 75), AUTO_MATCH)
-        .when((F.col("a_simple") != "") & (F.col("a_simple") == F.col("b_simple")) & (blank_a | blank_b), AUTO_MATCH)
+        .when(near & (F.col("_addr") >= 75), AUTO_MATCH)
+        .when(F.col("_same") & (blank_a | blank_b), AUTO_MATCH)
     )
-    return named.withColumn("decision", decision).drop("_addr", *(f"{side}_{c}" for side in "ab" for c in ("simple", "first", "set", "lower")))
+    judged = named.join(alike, ["a_address", "b_address"], "left").withColumn("decision", decision)
+    return judged.drop("_addr", "_same", "a_first", "b_first")
 
 
 def final_decision(decision: Column, judged: Column) -> Column:

@@ -85,9 +85,9 @@ def email_name(spark, d):
 
 def _pairs(spark, d):
     """Registry and master names that share a block, each once."""
-    a = linkage.prepared(X.registry(spark, d), "a", "registry_index", "business_name", "address1").select("block", "a_norm", "a_sorted").distinct()
-    b = linkage.prepared(X.master(spark, d), "b", "master_index", "name", "address1").select("block", "b_norm", "b_sorted").distinct()
-    return a.join(b, "block")
+    a = linkage.prepared(X.registry(spark, d), "a", "registry_index", "business_name", "address1").select("block", "a_norm").distinct()
+    b = linkage.prepared(X.master(spark, d), "b", "master_index", "name", "address1").select("block", "b_norm").distinct()
+    return linkage.tiled_join(*linkage.written(a, b), ["block"])
 
 
 _PAIRS = f"with {O.SIDES}, n as (select distinct a_norm, b_norm, a_sorted, b_sorted from pairs)"
@@ -146,12 +146,12 @@ def _sides(spark, d):
 
 @query(f"with {O.SIDES} select registry_index, master_index from pairs")
 def candidate_join(spark, d):
-    return linkage.candidate_pairs(*_sides(spark, d), pushed=False).select("registry_index", "master_index")
+    return linkage.candidate_pairs(*linkage.written(*_sides(spark, d)), pushed=False).select("registry_index", "master_index")
 
 
 @query(f"with {O.SIDES} select registry_index, master_index from pairs where a_num = '' or b_num = '' or a_num = b_num")
 def candidate_join_pushed(spark, d):
-    return linkage.candidate_pairs(*_sides(spark, d)).select("registry_index", "master_index")
+    return linkage.candidate_pairs(*linkage.written(*_sides(spark, d))).select("registry_index", "master_index")
 
 
 @query(
@@ -211,7 +211,7 @@ def matched_side_by_side(spark, d):
 def second_pass_pairs(spark, d):
     pairs = Workspace(spark, "passes").save(_matched(spark, d).select("registry_index", "master_index", "final_decision"), "first")
     a, b = _sides(spark, d)
-    rest = linkage.candidate_pairs(linkage.without_matched(a, pairs, "registry_index"), linkage.without_matched(b, pairs, "master_index"))
+    rest = linkage.candidate_pairs(*linkage.written(linkage.without_matched(a, pairs, "registry_index"), linkage.without_matched(b, pairs, "master_index")))
     return rest.select("registry_index", "master_index")
 
 
@@ -623,14 +623,14 @@ def best_per_master(spark, d):
  where name_score >= 57 and address_score >= 57 and a_num <> '' and a_num = b_num"""
 )
 def address_confirmed(spark, d):
-    scored = linkage.scored(linkage.candidate_pairs(*_sides(spark, d)))
+    scored = linkage.scored(linkage.candidate_pairs(*linkage.written(*_sides(spark, d))))
     ok = legacy.address_confirmed(F.col("name_score"), F.col("address_score"), (F.col("a_num") != "") & (F.col("a_num") == F.col("b_num")))
     return scored.where(ok).select("registry_index", "master_index", F.round(legacy.total_score(F.col("name_score"), F.col("address_score"), F.lit(100.0)), 6).alias("total_score"))
 
 
 @query(f"with {O.SCORED} select registry_index, master_index, round(name_score, 6) as name_score from scored where (a_blank or b_blank) and name_score >= 70")
 def name_confirmed(spark, d):
-    scored = linkage.scored(linkage.candidate_pairs(*_sides(spark, d)))
+    scored = linkage.scored(linkage.candidate_pairs(*linkage.written(*_sides(spark, d))))
     return scored.where(legacy.name_confirmed(F.col("name_score"), F.col("a_blank") | F.col("b_blank"))).select("registry_index", "master_index", r6("name_score"))
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; where none is set, the warehouse, or on one machine a temporary folder."""
     for get in (spark.conf.get, spark.sparkContext.getConf().get):
         root = get("spark.checkpoint.dir", None)
         if root:
             return root.rstrip("/")
-    root = tempfile.mkdtemp(prefix="ledgerloom-")
+    if spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="ledgerloom-")
+    else:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerloom"
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -37,6 +40,22 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+_OPENED: list[list] = []
+
+
+@contextlib.contextmanager
+def dropped_after() -> Iterator[None]:
+    """Deletes the intermediate tables of all operators called in a block; what is kept is written in it."""
+    opened: list = []
+    _OPENED.append(opened)
+    try:
+        yield
+    finally:
+        _OPENED.remove(opened)
+        for work in opened:
+            work.drop()
+
+
 class Workspace:
     """Written intermediate tables of one operator call.
 
@@ -49,6 +68,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+        for opened in _OPENED:
+            opened.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
