@@ -10,8 +10,10 @@
 5. best-fit packing into sequences of 1024 tokens.
 
 All but the last return the columns of their input.  Rows that share an id and
-a text are one document.  Null texts are rejected by stage 1; an empty table
-stays empty.  Extra columns pass through the first four stages.
+a text are one document; null ids stay null.  Null texts are rejected by stage 1;
+an empty table stays empty.  Very long texts are held whole by a task in stages 2
+to 4 (see the operators).  Extra columns, whatever their names, pass through the
+first four stages.  What operators write on the way is deleted after each stage.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, langid, minhash, packing, suffix_dedup
-from ledgerloom.llm.common import Workspace
+from ledgerloom.llm.common import Workspace, unused
+from ledgerloom.sources.workspace import dropped_after
 
 LEAST_SCORE = 0.3
 
@@ -37,8 +40,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs)
     # documents without words link with nothing and stay
-    stay = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _kept(docs, docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi"))
+    (own,) = unused(docs, "_id")
+    stay = found.where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return _kept(docs, docs.join(stay, docs["doc_id"].eqNullSafe(stay[own]), "left_semi"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,9 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     # ids and digests of contaminated documents only, far fewer than documents
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == bad["_digest"])
+    own, digest = unused(docs, "_id", "_digest")
+    bad = found.select(F.col("doc_id").alias(own), F.col("digest").alias(digest)).distinct()
+    same = docs["doc_id"].eqNullSafe(bad[own]) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == bad[digest])
     return _kept(docs, docs.join(bad, same, "left_anti"))
 
 
@@ -74,6 +79,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = ""
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with dropped_after():
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)  # the next stage has been written
+        before = name
     return docs
