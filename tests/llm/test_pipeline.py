@@ -29,3 +29,16 @@ def test_stages(spark):
         assert not (r.doc_id in left and any(t in r.text for t in items))
     before, after = seen["packing"]
     assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    """``run`` gives the last stage's rows; what operators wrote on the way is gone."""
+    import os
+
+    from ledgerloom.sources import workspace
+
+    monkeypatch.setattr(workspace, "shared_root", lambda spark: str(tmp_path))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.where("piece = 0").count() > 0
+    left = [p for p, _, files in os.walk(tmp_path) if any(f.endswith(".parquet") for f in files)]
+    assert len(left) == 1 and left[0].endswith("packing")
