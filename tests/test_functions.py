@@ -176,3 +176,34 @@ def test_fuzzy_join_needs_no_common_start(spark):
         assert got == {(p, q) for p in names for q in names if score(p, q) > 85}
     assert ("the blue cafe shop", "blue cafe shop") in {(r.x, r.y) for r in legacy.fuzzy_join_all(a, b, "x", "y", "ratio", 85).collect()}
     assert ("blue cafe shop", "shop cafe blue") in got
+
+
+def _unnamed(*sets):
+    return {"name": "BLK_1", "title": "", "roles": "", "contact_sets": [{"contact": c, "contact_type": "email", "type": t} for c, t in sets]}
+
+
+def test_sets_of_placeholders_settle():
+    """Equal sets and those typed "other" go; a specific one takes the place of a person's "other"."""
+    person = _unnamed(("a@x", "other"), ("b@x", "work"))
+    one, two = _unnamed(("a@x", "work"), ("b@x", "others"), ("c@x", "work")), _unnamed(("c@x", "work"), ("d@x", "other"))
+    contacts.settle([one, two], [person])
+    show = lambda p: [(s["contact"], s["type"]) for s in p["contact_sets"]]
+    assert show(person) == [("b@x", "work"), ("a@x", "work")]
+    assert show(one) == [] and show(two) == [("c@x", "work"), ("d@x", "other")]
+
+
+def test_wide_rows_lose_nothing(spark):
+    people = [{"name": f"p{i}", "title": "", "roles": "", "contact_sets": [{"contact": f"{i}-{j}", "contact_type": "t", "type": "w"} for j in range(4)]} for i in range(3)]
+    out = contacts.wide(spark.createDataFrame([(1, people), (2, [])], f"id long, people {contacts.SCHEMA}"), "id")
+    row = out.where("id = 1").first().asDict()
+    assert {v for c, v in row.items() if c.endswith("Contact") or "_Contact_" in c or c.startswith("Contact_")} >= {f"{i}-{j}" for i in range(3) for j in range(4)}
+
+
+def test_tiled_join_is_an_equi_join(spark):
+    from ledgerloom.operators.linkage import tiled_join
+
+    a = spark.range(60).selectExpr("id % 3 as k", "id as x")
+    b = spark.range(40).selectExpr("id % 4 as k", "id as y")
+    plain = sorted(tuple(r) for r in a.join(b, "k").select("k", "x", "y").collect())
+    for most in (1, 7, 50, 1 << 20):
+        assert sorted(tuple(r) for r in tiled_join(a, b, ["k"], most).select("k", "x", "y").collect()) == plain
