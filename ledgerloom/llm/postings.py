@@ -151,14 +151,14 @@ def decode(rows: pa.RecordBatch, width: int) -> Postings:
     return Postings(c["ids"].copy().view(np.int64), c["digests"].copy().view(np.uint32), counts, c["tags"].reshape(-1, width) if width else np.zeros((len(pos), 0), np.uint8), pos)
 
 
-def by_kind(batches, width: int):
-    """(kind, postings) of a partition whose rows are sorted by kind."""
+def by_kind(batches, width: int | dict[int, int]):
+    """(kind, postings) of a partition whose rows are sorted by kind; a dict gives each kind's width of tags."""
     for b in batches:
         kinds = b.column("kind").to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), len(kinds)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
-                yield int(kinds[lo]), decode(b.slice(lo, hi - lo), width)
+                yield int(kinds[lo]), decode(b.slice(lo, hi - lo), width[int(kinds[lo])] if isinstance(width, dict) else width)
 
 
 def buckets_of(spark) -> int:

@@ -47,6 +47,44 @@ def byte_repeats(docs, width=100):
     return sorted(out)
 
 
+def byte_groups(docs, places, width=100, gram=24):
+    """Maximal repeats within the contexts of ``places`` (doc_id -> starts of anchors): {(first id, first start, length, id, start)}.
+
+    An anchor counts for strings it is the least gram of a window of; what it
+    finds is compared with every occurrence in the texts.
+    """
+    before, data = width - gram, {i: (t or "").encode() for i, t in docs}
+    by_gram = defaultdict(list)
+    for i, starts in places.items():
+        for at in starts:
+            by_gram[data[i][at : at + gram]].append((i, at))
+    out = set()
+    for found in by_gram.values():
+        for a in range(before + 1):
+            for b in range(width - a, width + 1):
+                same = defaultdict(list)
+                for i, at in found:
+                    if at >= a and at + b <= len(data[i]):
+                        same[data[i][at - a : at + b]].append((i, at - a))
+                for string, where in same.items():
+                    ends = {(i, s, a + b) for i, s in where}
+                    lefts = {data[i][s - 1] if s else (i, s) for i, s in where}
+                    rights = {data[i][s + a + b] if s + a + b < len(data[i]) else (i, s) for i, s in where}
+                    if len(ends) > 1 and (a == before or len(lefts) > 1) and (b == width or len(rights) > 1):
+                        out.add((string, a))
+    return data, out
+
+
+def occurrences(data, string):
+    out = []
+    for i, b in data.items():
+        k = b.find(string)
+        while k >= 0:
+            out.append((i, k))
+            k = b.find(string, k + 1)
+    return sorted(out)
+
+
 def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 

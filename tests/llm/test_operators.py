@@ -3,12 +3,16 @@
 import hashlib
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+
 from ledgerloom.llm import decontam, langid, lm_score, minhash, packing, postings, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from ledgerloom.llm.common import texts_of
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, id long, digest string, kind int, bucket string"
@@ -59,6 +63,54 @@ def test_suffix(spark, rows):
     assert plain(got) == brute.byte_repeats(rows)
 
 
+def groups_of(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.first_id, r.first_start, r.length].append((r.doc_id, r.start))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_suffix_groups_hold_every_occurrence(spark, rows):
+    """Against strings found plainly: complete, maximal, and all that the removal rests on."""
+    got = groups_of(suffix_dedup.repeat_groups(frame(spark, [*rows, rows[8]])))
+    places = {}
+    for i, t in rows:
+        one = texts_of(pa.array([t], pa.string()))
+        places[i] = suffix_dedup.anchors(one, suffix_dedup._BYTES.bytes_prefix(one.data), 100)[0].tolist()
+    data, want = brute.byte_groups(rows, places)
+    strings = set()
+    for (i, start, length), where in got.items():
+        string = data[i][start : start + length]
+        assert where == brute.occurrences(data, string) and where[0] == (i, start) and len(where) > 1
+        strings.add(string)
+    assert len(strings) == len(got) and strings <= {s for s, _ in want}
+    # what is left of the plain ones: an anchor that is least only in a window outside of the string
+    grams = lambda s: suffix_dedup._BYTES.windows(suffix_dedup._BYTES.bytes_prefix(np.frombuffer(s, np.uint8)), 24) >> np.uint64(32)
+    for string, a in want:
+        g = grams(string)
+        inside = any(g[w : w + 77].min() == g[a] for w in range(max(0, a - 76), min(a, len(string) - 100) + 1))
+        assert (string in strings) or not inside
+    gone = {i: set() for i in data}
+    for (_, _, length), where in got.items():
+        for i, start in where[1:]:
+            gone[i].update(range(start, start + length))
+    assert {(i, len(v)) for i, v in gone.items()} == {(r[0], r[2]) for r in brute.byte_repeats(rows)}
+
+
+def test_suffix_repeated_rows_keep_their_first_occurrences(spark, rows):
+    twice = [*rows, rows[0], rows[8], rows[9]]
+    once = {r.doc_id: (r.n_removed, r.kept) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    out = suffix_dedup.remove_repeats(frame(spark, twice)).collect()
+    assert len(out) == len(twice) and all((r.n_removed, r.kept) == once[r.doc_id] for r in out)
+
+
+def test_suffix_groups_of_odd_rows(spark):
+    odd = [(None, "x" * 300), (None, "x" * 300), (3, None), (4, ""), (5, "short")]
+    got = groups_of(suffix_dedup.repeat_groups(frame(spark, odd)))
+    assert got and all(k[0] is None for k in got)
+    assert suffix_dedup.repeat_groups(frame(spark, odd).where("false")).count() == 0
+
+
 def test_suffix_clean_keeps_columns(spark, rows):
     docs = frame(spark, rows)
     out = suffix_dedup.clean(docs)
