@@ -12,7 +12,9 @@ coordinate k ranks them after a rotation by k.  Two permutations thus give all
 3. Confirmed links join into components.  Buckets that still hold several
    components compare their members across them, in blocks of bounded size and
    on the full sets: no candidate of a bucket is left out, yet only links leave
-   a block and a bucket of copies never makes all its pairs.
+   a block and a bucket of copies never makes all its pairs.  Members of a
+   bucket's largest component meet only the others, so a hot bucket that is
+   nearly one component costs its size times the blocks of the rest.
 
 With 25 bands of 5 rows a pair at similarity 0.8 fails to meet with probability
 5e-5, one at 0.85 with 4e-7.
@@ -41,6 +43,8 @@ BANDS, ROWS = 25, 5
 SKETCH_SLACK = 0.15
 #: Shingles of a bucket's members compared in one block.
 BLOCK_SHINGLES = 1 << 19
+#: Pairs of one centre that a task gets.
+CENTER_PAIRS = 1 << 12
 
 _BYTES, _SEQ = Rolling(401), Rolling(402)
 NONE = np.zeros(0, np.int64)
@@ -147,11 +151,20 @@ def signature_table(rows: DataFrame, size: int, bands: int, depth: int) -> DataF
     return map_texts(rows, fn, "id long, digest long, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary")
 
 
+def with_centers(pairs: DataFrame, a_side: DataFrame, b_side: DataFrame) -> DataFrame:
+    """Pairs with both sides' columns; those of a centre in many pairs are dealt out, and its row goes to every part."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTER_PAIRS).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    centers = a_side.join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(centers, ["a", "part"]).drop("part").join(b_side, "b")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those (a, b) whose full shingle sets reach the threshold."""
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    joined = pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "a_text", "b_text")
+    joined = with_centers(pairs.select("a", "b"), ta, tb).select("a", "b", "a_text", "b_text")
 
     def run(batches):
         for whole in batches:
@@ -180,7 +193,7 @@ def _agree(sketch_a: np.ndarray, sketch_b: np.ndarray, n_a: np.ndarray, n_b: np.
 
 def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = with_centers(pairs, side("a"), side("b"))
 
     def run(batches):
         for b in batches:
@@ -206,15 +219,17 @@ def set_table(texts: DataFrame, size: int) -> DataFrame:
 def cross_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links between different components of one bucket.
 
-    ``members``: key, id, component, n_shingles, sketch, hashes, blocks (how
-    many blocks the bucket is cut in).  A member goes to every pair of blocks
-    that holds its own, so a task sees two blocks at a time whatever the
-    bucket's size.  Pairs that sizes and sketches allow are tested on the full
-    sets, the likeliest first; one link to a component is enough, so only links
-    leave the task, at most one for a member and component.
+    ``members``: key, id, component, n_shingles, sketch, hashes, major (whether
+    of the bucket's largest component), majors and minors (how many blocks these
+    and the others are cut in).  A member goes to every pair of blocks that holds
+    its own, but for pairs of two blocks of majors, so a task sees two blocks at
+    a time whatever the bucket's size.  Pairs that sizes and sketches allow are
+    tested on the full sets, the likeliest first; one link to a component is
+    enough, so only links leave the task, at most one for a member and component.
     """
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = F.when(F.col("major"), place("majors")).otherwise(F.col("majors") + place("minors"))
+    other = F.explode(F.sequence(F.when(F.col("major"), F.col("majors")).otherwise(0), F.col("majors") + F.col("minors") - 1))
     dealt = (
         members.withColumn("own", own)
         .withColumn("other", other)
@@ -286,14 +301,16 @@ def near_duplicates(
     # what is left: buckets that hold several components
     placed = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sized = reps.select("id", "n_shingles", "sketch")
+    parts = placed.join(sized, "id").groupBy("key", "component").agg(F.sum("n_shingles").alias("total"))
+    largest = F.max(F.struct("total", "component"))
+    blocks = lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
     open_ = (
-        placed.join(sized, "id")
-        .groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("total"))
-        .where("lo < hi")
-        .select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"))
+        parts.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("components"), F.sum("total").alias("total"), largest.alias("largest"))
+        .where("components > 1")
+        .select("key", F.col("largest.component").alias("top"), blocks(F.col("largest.total")).alias("majors"), blocks(F.col("total") - F.col("largest.total")).alias("minors"))
     )
-    members = work.save(placed.select("key", "id", "component").join(open_, "key"), "members")
+    members = work.save(placed.select("key", "id", "component").join(open_, "key").withColumn("major", F.expr("component = top")).drop("top"), "members")
     asked = members.select("id").distinct()
     sets = work.save(set_table(texts.join(asked, "id", "left_semi"), shingle_words), "sets")
     found = work.save(cross_links(members.join(sized, "id").join(sets, "id"), percent), "more-links")

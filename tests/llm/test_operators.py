@@ -156,6 +156,37 @@ def test_minhash_cross_links_split_in_blocks(spark, monkeypatch):
     assert plain(minhash.near_duplicates(frame(spark, rows), shingle_words=4)) == brute.near(rows)
 
 
+def test_minhash_recall_just_above_the_threshold(spark):
+    """300 pairs of 0.80 to 0.85 by their full sets: all are linked, and nothing else."""
+    rng = random.Random(23)
+    rows = []
+    while len(rows) < 600:
+        one = [f"v{rng.randint(0, 99999)}" for _ in range(rng.randint(60, 240))]
+        two = list(one)
+        for _ in range(rng.randint(1, 9)):
+            two[rng.randrange(len(two))] = f"u{rng.randint(0, 99999)}"
+        a, b = (brute.shingles(" ".join(x)) for x in (one, two))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    got = minhash.near_duplicates(frame(spark, rows), shingle_words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("block,pairs", [(100, 2), (400, 3)])
+def test_minhash_hot_bucket_in_parts(spark, monkeypatch, block, pairs):
+    """A large component, strays near some of its members, and a centre in many pairs."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(minhash, "CENTER_PAIRS", pairs)
+    rng = random.Random(31)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    assert plain(minhash.near_duplicates(frame(spark, rows), shingle_words=4)) == brute.near(rows)
+
+
 def test_simhash(spark, rows):
     out = {r.doc_id: r for r in simhash.fingerprint_edits(frame(spark, rows)).collect()}
     ordered = [(i, t or "") for i, t in rows]
