@@ -303,14 +303,18 @@ def near_duplicates(
     sized = reps.select("id", "n_shingles", "sketch")
     parts = placed.join(sized, "id").groupBy("key", "component").agg(F.sum("n_shingles").alias("total"))
     largest = F.max(F.struct("total", "component"))
-    blocks = lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
+    # a bucket that fits is one block, without majors
+    hot, blocks = F.col("total") > BLOCK_SHINGLES, lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
+    majors = F.when(hot, blocks(F.col("largest.total"))).otherwise(0)
+    minors = F.when(hot, blocks(F.col("total") - F.col("largest.total"))).otherwise(1)
     open_ = (
         parts.groupBy("key")
         .agg(F.count(F.lit(1)).alias("components"), F.sum("total").alias("total"), largest.alias("largest"))
         .where("components > 1")
-        .select("key", F.col("largest.component").alias("top"), blocks(F.col("largest.total")).alias("majors"), blocks(F.col("total") - F.col("largest.total")).alias("minors"))
+        .select("key", F.when(hot, F.col("largest.component")).alias("top"), majors.alias("majors"), minors.alias("minors"))
     )
-    members = work.save(placed.select("key", "id", "component").join(open_, "key").withColumn("major", F.expr("component = top")).drop("top"), "members")
+    placed_open = placed.select("key", "id", "component").join(open_, "key")
+    members = work.save(placed_open.withColumn("major", F.coalesce(F.expr("component = top"), F.lit(False))).drop("top"), "members")
     asked = members.select("id").distinct()
     sets = work.save(set_table(texts.join(asked, "id", "left_semi"), shingle_words), "sets")
     found = work.save(cross_links(members.join(sized, "id").join(sets, "id"), percent), "more-links")
