@@ -207,3 +207,16 @@ def test_tiled_join_is_an_equi_join(spark):
     plain = sorted(tuple(r) for r in a.join(b, "k").select("k", "x", "y").collect())
     for most in (1, 7, 50, 1 << 20):
         assert sorted(tuple(r) for r in tiled_join(a, b, ["k"], most).select("k", "x", "y").collect()) == plain
+
+
+def test_dealt_rows_are_never_broadcast(spark):
+    """A file holds each row once, the dealt rows hold it once a tile: the planner's size of them is too small."""
+    from ledgerloom.operators.linkage import tiled_join
+
+    a = spark.range(2000).selectExpr("id as x", "id div 10000 as k")
+    b = spark.range(2000).selectExpr("id as y", "id div 10000 as k")
+    pairs = tiled_join(a, b, ["k"], 1000)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_i#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert pairs.count() == 4_000_000
