@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,12 +82,31 @@ def three_files(registry: DataFrame, master: DataFrame, matched: DataFrame, a_ke
     Names in ``system`` keep their name in the matched file; the files of the
     rest bear their key once more at the end, without a number.
     """
-    end = lambda df, n, keep: [F.col(f"`{c}`").alias(c if c in keep else f"{c}_{n}") for c in df.columns]
     keep = {a_key, b_key, *system}
-    a = registry.select(*end(registry, 1, keep))
-    b = master.select(*(c for c in end(master, 2, keep)))
-    rest = lambda df, key, n: df.join(matched.select(key).distinct(), key, "left_anti").select(*end(df, n, ()), F.col(key))
-    return {"matched": matched.select(a_key, b_key).join(a, a_key).join(b, b_key), "registry": rest(registry, a_key, 1), "master": rest(master, b_key, 2)}
+    a = registry.select(*_ends(registry, 1, keep))
+    b = master.select(*_ends(master, 2, keep))
+    return {"matched": matched.select(a_key, b_key).join(a, a_key).join(b, b_key), "registry": rest_file(registry, matched, a_key, 1), "master": rest_file(master, matched, b_key, 2)}
+
+
+def _ends(df: DataFrame, n: int, keep: set[str]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(c if c in keep else f"{c}_{n}") for c in df.columns]
+
+
+def rest_file(records: DataFrame, matched: DataFrame, key: str, n: int) -> DataFrame:
+    """L-K13: what is left of one side, numbered, its key once more at the end; ``matched`` needs the key alone."""
+    return records.join(matched.select(key).distinct(), key, "left_anti").select(*_ends(records, n, set()), F.col(key))
+
+
+def numbered(pairs: DataFrame, row: str, n: int, key: str) -> list[Column]:
+    """L-K13: the fields of a pair's original row but its key, with their number."""
+    return [F.col(f"{row}.`{c}`").alias(f"{c}_{n}") for c in pairs.schema[row].dataType.names if c != key]
+
+
+def prefixed(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...], prefix: str = "master_") -> list[Column]:
+    """L-K14 of pairs that hold both rows: the fields but the keys; one of ``b`` whose name is taken gets the prefix."""
+    taken, own = pairs.schema[a].dataType.names, pairs.schema[b].dataType.names
+    renamed = [F.col(f"{b}.`{c}`").alias(f"{prefix}{c}" if c in taken else c) for c in own if c not in keys]
+    return [F.col(f"{a}.`{c}`") for c in taken if c not in keys] + renamed
 
 
 def matched_export(matched: DataFrame, registry: DataFrame, master: DataFrame, a_key: str, b_key: str, prefix: str = "master_") -> DataFrame:
