@@ -39,7 +39,7 @@ def _formed(records: DataFrame, s: str, work: Workspace) -> tuple[DataFrame, Dat
     named = work.save(named.withColumn(f"{s}_unnumbered", F.col(f"{s}_num") == "").withColumn(f"{s}_unstarted", F.col(f"{s}_first") == ""), f"named_{s}")
     own = ["block", f"{s}_norm", f"{s}_simple"]
     forms = work.save(named.select(*own).distinct().withColumn(f"{s}_form", F.monotonically_increasing_id()), f"forms_{s}")
-    return work.save(named.join(forms, own), f"records_{s}"), forms
+    return work.save(named.join(forms.hint("merge"), own), f"records_{s}"), forms
 
 
 def _counted(records: DataFrame, s: str, on: tuple[str, ...], *more: str) -> DataFrame:
@@ -139,7 +139,7 @@ def matched_keys(records: DataFrame, levels: list[Level], s: str, key: str) -> D
 def attached(records: DataFrame, originals: DataFrame, key: str, name: str) -> DataFrame:
     """Records with their original rows as one struct: joined here once a record and not once a pair."""
     rows = originals.select(key, F.struct(*originals.columns).alias(name))
-    return Workspace(records.sparkSession, "attached").save(records.join(rows, key), name)
+    return Workspace(records.sparkSession, "attached").save(records.join(rows.hint("merge"), key), name)
 
 
 def matched_pairs(a: DataFrame, b: DataFrame, levels: list[Level], columns: list[str]) -> DataFrame:
