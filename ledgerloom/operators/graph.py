@@ -4,7 +4,8 @@ Alternates the large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond"): every step replaces edges by edges to a
 smaller neighbour and never holds a node's neighbours together, so hubs are
 only skewed join keys.  Each round is written once; rounds grow with the
-logarithm of the diameter.
+logarithm of the diameter.  Edge files are small for their rows, so steps are
+merge joins and nothing is broadcast by its file's size.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from ledgerloom.sources.workspace import Workspace
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("u"), "v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = edges.join(least, "v").where("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
+    moved = edges.join(least.hint("merge"), "v").where("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
     return moved.unionByName(least.select(F.col("m").alias("u"), "v")).distinct()
 
 
