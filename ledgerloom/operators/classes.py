@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize as N
@@ -27,7 +27,7 @@ FULL = (*CLOSE, "street", "address")
 
 @dataclass
 class Level:
-    """Pairs of classes: ``a_*`` and ``b_*`` of ``on``, ``decision`` and ``pairs``, how many pairs of records they hold."""
+    """Pairs of classes: ``a_*`` and ``b_*`` of ``on``, ``decision``, ``simple_score`` and ``pairs``, how many pairs of records they hold."""
 
     on: tuple[str, ...]
     pairs: DataFrame
@@ -47,7 +47,7 @@ def _counted(records: DataFrame, s: str, on: tuple[str, ...], *more: str) -> Dat
 
 
 def _kept(pairs: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    return pairs.select(*(f"{s}_{c}" for s in "ab" for c in on), "decision", (F.col("a_n") * F.col("b_n")).alias("pairs"))
+    return pairs.select(*(f"{s}_{c}" for s in "ab" for c in on), "decision", "simple_score", (F.col("a_n") * F.col("b_n")).alias("pairs"))
 
 
 def decided(a: DataFrame, b: DataFrame, *, matches: bool = False) -> tuple[DataFrame, DataFrame, list[Level]]:
@@ -144,9 +144,17 @@ def attached(records: DataFrame, originals: DataFrame, key: str, name: str) -> D
 
 def matched_pairs(a: DataFrame, b: DataFrame, levels: list[Level], columns: list[str]) -> DataFrame:
     """All pairs of records that match automatically, with ``columns`` of either side."""
+    return record_pairs(a, b, levels, columns, F.col("decision") == linkage.AUTO_MATCH)
+
+
+def record_pairs(a: DataFrame, b: DataFrame, levels: list[Level], columns: list[str], chosen: Column | None = None) -> DataFrame:
+    """The pairs of records of all classes, or of the chosen ones, with ``columns`` of either side or of a level.
+
+    The last join makes the pairs, and nothing shuffles them.
+    """
     out = []
     for x in levels:
-        pairs = x.pairs.where(F.col("decision") == linkage.AUTO_MATCH)
+        pairs = x.pairs if chosen is None else x.pairs.where(chosen)
         for s, records in (("a", a), ("b", b)):
             on = [f"{s}_{c}" for c in x.on]
             wanted = [F.col(c) for c in records.columns if c in columns and c not in on]

@@ -74,8 +74,9 @@ def judge_pairs(pairs: DataFrame, judge: Judge, allowed: tuple[str, ...]) -> Dat
     def run(batches):
         for batch in batches:
             answers = {}
-            for i in range(0, len(batch), judge.chunk):
-                for a in judge.decide(batch.iloc[i : i + judge.chunk].to_dict("records")):
+            asked = batch.to_dict("records")
+            for i in range(0, len(asked), judge.chunk):
+                for a in judge.decide(asked[i : i + judge.chunk]):
                     if a["decision"] in allowed:
                         answers[a["id"]] = (a["decision"], a.get("reason", ""))
             got = [answers.get(i, (UNCERTAIN, "")) for i in batch["pair_id"]]

@@ -51,3 +51,13 @@ def test_like_and_blank_pairs(sides):
     scored = linkage.scored(linkage.candidate_pairs(*linkage.written(*sides))).cache()
     assert keys(linkage.like_pairs(*sides, 80, 90)) == keys(scored.where("name_score >= 80 and address_score >= 90")) != []
     assert keys(linkage.blank_pairs(*sides, 70)) == keys(scored.where("(a_blank or b_blank) and name_score >= 70")) != []
+
+
+def test_all_pairs_of_records(sides):
+    """Decisions and simple scores of every candidate, from classes."""
+    want = {(r["ra"], r["rb"]): (r["decision"], round(r["simple_score"], 6)) for r in linkage.prejudge(linkage.rule_filter(*sides)).collect()}
+    a, b, levels = classes.decided(*sides)
+    rows = classes.record_pairs(a, b, levels, ["ra", "rb", "decision", "simple_score"]).collect()
+    assert len(rows) == len(want) and {(r["ra"], r["rb"]): (r["decision"], round(r["simple_score"], 6)) for r in rows} == want
+    open_ = classes.record_pairs(a, b, levels, ["ra", "rb"], F.col("decision").isNull()).collect()
+    assert sorted(map(tuple, open_)) == sorted(k for k, v in want.items() if v[0] is None) != []
