@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph import connected_components
+from ledgerloom.sources.workspace import Workspace
 
 #: Order of run states in the city list.
 STATUS_ORDER = {"paused": 0, "running": 1, "failed": 2, "pending": 3, "not_started": 4, "completed": 5}
@@ -61,12 +62,14 @@ def cluster_groups(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
     """Open pairs grouped by the components of the clusters they link.
 
     ``pairs``: a, b, decision; ``assigned``: idx, cluster.  One row a group:
-    the sorted clusters and the linking pairs.
+    the sorted clusters and the linking pairs.  Links are written, since
+    components and groups both read them.
     """
     of = lambda s: assigned.select(F.col("idx").alias(s), F.col("cluster").alias(f"{s}_cluster"))
-    open_ = pairs.where("decision = 'UNCERTAIN'").join(of("a"), "a").join(of("b"), "b").where("a_cluster <> b_cluster")
+    met = pairs.where("decision = 'UNCERTAIN'").join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("a_cluster <> b_cluster")
+    open_ = Workspace(pairs.sparkSession, "groups").save(met, "links")
     labels = connected_components(open_, "a_cluster", "b_cluster").withColumnRenamed("node", "a_cluster")
-    linked = open_.join(labels, "a_cluster")
+    linked = open_.join(labels.hint("merge"), "a_cluster")
     return linked.groupBy("component").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a_cluster", "b_cluster"))))).alias("clusters"),
         F.array_sort(F.collect_list(F.struct("a", "b"))).alias("linking_pairs"),
