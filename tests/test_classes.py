@@ -61,3 +61,17 @@ def test_all_pairs_of_records(sides):
     assert len(rows) == len(want) and {(r["ra"], r["rb"]): (r["decision"], round(r["simple_score"], 6)) for r in rows} == want
     open_ = classes.record_pairs(a, b, levels, ["ra", "rb"], F.col("decision").isNull()).collect()
     assert sorted(map(tuple, open_)) == sorted(k for k, v in want.items() if v[0] is None) != []
+
+
+@pytest.mark.parametrize("limits", [{}, {"LISTED": 2, "LARGE": 1}])
+def test_pairs_from_lists(sides, by_pairs, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(classes, name, value)
+    a, b, levels = classes.decided(*sides)
+    pairs = classes.record_pairs(a, b, levels, ["ra", "rb", "b_name", "decision"])
+    rows = pairs.collect()
+    assert len(rows) == len(by_pairs) and {(r["ra"], r["rb"]): r["decision"] for r in rows} == by_pairs
+    names = {r["rb"]: r["b_name"] for r in b.collect()}
+    assert all(r["b_name"] == names[r["rb"]] for r in rows)
+    above = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert above.index("Generate explode") < above.index("Join")  # before, a merge join made the pairs
