@@ -75,3 +75,11 @@ def test_pairs_from_lists(sides, by_pairs, monkeypatch, limits):
     assert all(r["b_name"] == names[r["rb"]] for r in rows)
     above = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert above.index("Generate explode") < above.index("Join")  # before, a merge join made the pairs
+
+
+def test_open_pairs_of_each_record(sides, by_pairs):
+    """How many questions each record has, without a list of them."""
+    a, _, levels = classes.decided(*sides)
+    got = {r["ra"]: r["pairs"] for r in classes.pairs_of_records(a, levels, "a", "ra", F.col("decision").isNull()).collect()}
+    want = [k for k, v in by_pairs.items() if v is None]
+    assert got == {k: sum(x == k for x, _ in want) for k in {x for x, _ in want}} != {}
